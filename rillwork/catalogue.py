@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import drainage, farming, hydro, kernels, stations, zones  # noqa: F401  (they register themselves)
+from .plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(SQL)
