@@ -1,5 +1,3 @@
-import datetime
-
 import duckdb
 import pytest
 
@@ -42,4 +40,3 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert isinstance(datetime.date.today(), datetime.date)
