@@ -143,8 +143,8 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for whole in batches:
             id_type = whole.schema.field("doc_id").type
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 for i, x in zip(b.column("doc_id").to_pylist(), encoder.encode([t.decode("utf-8", "replace") for t in b.column("text").to_pylist()])):
                     if ids and n + len(x) // 4 + 1 > segment_tokens:
                         yield flush()

@@ -12,19 +12,15 @@ from array import array
 
 import regex
 
-#: Code points on which this module's and the library's tables of letters, digits and white space might differ.
-UNSURE = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
+#: Code points on which this module's and the library's tables of letters, digits and white space might differ, and white space other than space and line end.
+ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
+PAIRS = ("  ", "\n\n", " \n", "\n ", "\0")
+#: A comma or full stop that isn't a pre-token of its own: not behind a letter or digit, or not before white space.
+NOT_ALONE = re.compile(r"(?<![^\W_])[.,]|[.,](?![ \n]|\Z)")
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies; fixed.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Where white space meets white space, the pattern's matches can reach across a space.
-TWO_SPACES = re.compile(r"\s\s")
 #: Entries of a worker's cache. A full one keeps what it has; what it lacks is then encoded in each batch anew.
-CACHE_MAX = 600_000
-
-
-def keep(cache: dict, new: dict, most: int) -> None:
-    if len(cache) < most:
-        cache.update(new)
+CACHE_MAX = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,54 +29,67 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Encoded(dict):
+    """A bounded cache. What it has no room for is in new, for one batch."""
+
+    new: dict = {}
+
+    def __missing__(self, key):
+        return self.new[key]
+
+    def add(self, new: dict, most: int) -> None:
+        self.new = new
+        if len(self) < most:
+            self.update(new)
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ByteLevelIds:
     """Ids that a byte-level BPE file of the tokenizers library gives, without special tokens added, as little-endian unsigned 32-bit integers.
 
-    Two caches: of what stands between two single spaces, which needs no pattern on a hit, and of pre-tokens."""
+    Most texts are cut by plain replacements: before spaces, before commas and full stops that stand alone, and around
+    line ends, all edges of the library's own pattern. Where those conditions fail the pattern cuts, and where the pattern
+    could differ from the library's the library takes the whole text. Pieces of letters go to the library's model, others
+    through its pre-tokenizer; the ids of frequent pieces are kept."""
 
     def __init__(self, path: str, cache_max: int = CACHE_MAX) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        # Rare pieces only get here; the model's own cache would cost more than it saves.
+        getattr(self.model, "_resize_cache", lambda n: None)(0)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.cache_max = cache_max
+        self.pieces, self.cache_max, self.signs = Encoded({"": b""}), cache_max, byte_signs()
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_pieces(self, parts: list[list[str]]) -> list[bytes]:
-        pieces = self.pieces
-        missing = list({x for p in parts for x in p if x not in pieces})
-        new = {x: array("I", e.ids).tobytes() for x, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False))}
-        keep(pieces, new, self.cache_max)
-        return [b"".join([new[x] if x in new else pieces[x] for x in p]) for p in parts]
+    def _model(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]).tobytes()
+
+    def cut(self, text: str) -> list[str] | None:
+        if ODD.search(text) or any(x in text for x in self.special):
+            return None
+        if any(x in text for x in PAIRS) or NOT_ALONE.search(text):
+            return BYTE_LEVEL.findall(text)
+        return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = self.words
-        ways, cut, missing = [], [], set()
-        for t in texts:
-            if UNSURE.search(t) or any(x in t for x in self.special):
-                ways.append(None)
-            elif TWO_SPACES.search(t):
-                ways.append(len(cut))
-                cut.append(BYTE_LEVEL.findall(t))
-            else:
-                first, *rest = t.split(" ")
-                ways.append((len(cut), rest))
-                cut.append(BYTE_LEVEL.findall(first))
-                missing.update(x for x in rest if x not in words)
-        missing = list(missing)
-        done = self._of_pieces(cut + [BYTE_LEVEL.findall(" " + x) for x in missing])
-        new = dict(zip(missing, done[len(cut) :]))
-        keep(words, new, self.cache_max)
-        out = []
-        for t, way in zip(texts, ways):
-            if way is None:
-                out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
-            elif isinstance(way, int):
-                out.append(done[way])
-            else:
-                out.append(done[way[0]] + b"".join([new[x] if x in new else words[x] for x in way[1]]))
-        return out
+        parts = [self.cut(t) for t in texts]
+        missing = set().union(*(p for p in parts if p)).difference(self.pieces)
+        odd = [x for x in missing if not x[x[0] == " " :].isalpha()]
+        new = dict(zip(odd, self._library(odd)))
+        new.update((x, self._model(x)) for x in missing.difference(odd))
+        self.pieces.add(new, self.cache_max)
+        get, whole = self.pieces.__getitem__, iter(self._library([t for t, p in zip(texts, parts) if p is None]))
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
 
 
 #: Spaces and what follows them up to the next, or a line end and what follows it.
@@ -100,8 +109,8 @@ class PieceLengths:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.cuts = not any("\n" in p or re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces) and self.library.encode(" a  b\nc", out_type=str)[0] == SPACE_MARK
-        self.frequent = frequent or {}
-        self.words: dict[str, int] = {"": 1}
+        self.frequent = Encoded(frequent or {})
+        self.words = self.frequent.new = Encoded({"": 1})
         self.cache_max = cache_max
 
     def _lengths(self, texts: list[str]) -> list[int]:
@@ -114,21 +123,15 @@ class PieceLengths:
 
     def count(self, texts: list[str]) -> list[int]:
         words, frequent = self.words, self.frequent
-        ways: list[list[str] | None] = []
-        missing: set[str] = set()
-        for t in texts:
-            if not t or not self.cuts or SPACE_MARK in t or t[0] == " " or "  " in t:
-                ways.append(None)
-            else:
-                ways.append(t.split(" "))
-                missing.update(x for x in ways[-1] if x not in frequent and x not in words)
-        plain = list(missing)
-        new = dict(zip(plain, self._lengths(plain)))
-        keep(words, new, self.cache_max)
+        plain = [bool(t) and self.cuts and t[0] != " " and "  " not in t and SPACE_MARK not in t for t in texts]
+        parts = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
+        missing = list(set().union(*parts).difference(frequent).difference(words))
+        words.add(dict(zip(missing, self._lengths(missing))), self.cache_max)
+        get = frequent.__getitem__
         out = []
-        for t, way in zip(texts, ways):
-            if way is not None:
-                out.append(sum([frequent[x] if x in frequent else new[x] if x in new else words[x] for x in way]))
+        for t, p, own in zip(texts, plain, parts):
+            if p:
+                out.append(sum(map(get, own)))
             else:
                 out.append(self._spaced(t) if t and self.cuts and SPACE_MARK not in t else len(self.library.encode(t)))
         return out
