@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialise(components(links(first.select("fp"), tree_max=tree_max)))
     least = groups.join(first, groups["node"] == first["fp"]).groupBy("component").agg(F.min("least").alias("group_least"))
     linked = groups.join(least, "component").select(F.col("node").alias("fp"), "group_least")
-    named = first.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
+    # Written, so that its size decides the join below, and both of its sides are plain shuffles, which adaptive execution can split where a fingerprint is hot.
+    named = materialise(first.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
 
 
