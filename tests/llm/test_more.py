@@ -245,7 +245,7 @@ def brute_lines(docs):
     lines = {}
     for key, (i, t) in enumerate(docs):
         for k, raw in enumerate((t or "").split("\n")):
-            norm = re.sub(r"[\W_]+", " ", raw.lower()).strip()
+            norm = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", raw.lower()).strip(" ")
             if norm:
                 lines.setdefault(norm, []).append((i is None, i or 0, k, key))
     norms = list(lines)
