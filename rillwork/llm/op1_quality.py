@@ -4,9 +4,13 @@ Every document's lines are normalised (lower case, white space made one space) a
 host that hold a line are counted; lines above the limit are removed; documents that this depletes are rejected, as are
 those that fail the base rules.
 
-Copies: exact and near copies of one document share all of their lines, but their lines are no boilerplate. Documents
-are therefore counted by a signature, the least hash over content-defined four-word shingles, that copies share; the
-removal of copies is left to the deduplication operators.
+Copies: exact copies of one document share all of their lines, but their lines are no boilerplate. Documents are
+therefore counted by a hash of all their words, in lower case, which only copies share; the removal of copies is left to
+the deduplication operators. Near copies count each: pages that differ in a line of their own and have the rest in common
+are what the rule is for, and no digest of a part of the text tells the two apart.
+
+The share of a host's documents is a limit that rises with the host; so a line on more than many_docs documents is above
+the limits too, however large its host.
 
 Plan: one pass over the texts writes a small feature table (counts, signature, line hashes) to the shared folder; all
 shuffles work on hashes. The count of distinct documents is two aggregations with map-side combine, so a line that a
@@ -31,6 +35,8 @@ from .common import materialise, read, row_keys, text_bytes
 
 MIN_DOCS = 10
 MAX_SHARE = 0.10
+#: Distinct documents of a host beyond which a line goes, whatever their share.
+MANY_DOCS = 100
 LEAST_LEFT = 0.20
 SALTS = 16
 SYMBOLS = b"#*$%&|<>"
@@ -65,8 +71,8 @@ def line_hash(line: bytes) -> int:
 
 
 def signature(words: list[bytes], text: bytes) -> int:
-    """Least hash over the four-word shingles that start at long words, which copies share; else that of the text."""
-    return signed(min((xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 4])) for i, w in enumerate(words) if len(w) > 8), default=0) or xxhash.xxh3_64_intdigest(text))
+    """Hash of all words in lower case, which copies share; of the text, if it has none."""
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(words).lower() if words else text))
 
 
 def features(text: bytes) -> tuple:
@@ -93,18 +99,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "host", "k1", "k2")), *(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], line_type)], names=["doc_id", "host", "k1", "k2", *names, "lines"])
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """A row for each document: base counts, base_failed, kept, n_removed_words, removed (hashes of the removed lines).
 
     A line is removed in a host where more than min_docs distinct documents and more than max_share of the host's
-    distinct documents hold it. A document is depleted with less than least_left of its words left."""
+    distinct documents hold it, or where more than many_docs do. A document is depleted with less than least_left of its words left."""
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), *row_keys(id_col, text_col, host_col), text_bytes(text_col).alias("text"))
     feats = materialise(given.mapInArrow(_features, FEATURES.format(id=kind)).withColumn("row", F.monotonically_increasing_id()))
     lines = feats.select("row", "host", "sig", F.inline("lines"))
     counts = lines.select("host", "h", "sig").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     hosts = feats.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
-    frequent = counts.join(hosts, "host").filter(F.col("n") > F.col("n_host") * max_share)
+    frequent = counts.join(hosts, "host").filter((F.col("n") > F.col("n_host") * max_share) | (F.col("n") > many_docs))
     salted = frequent.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = lines.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
     gone = hits.groupBy("row").agg(F.sum("w").alias("gone"), F.collect_list("h").alias("removed"))
