@@ -47,15 +47,14 @@ NAMES = {
 GENDER = {n: g for g, names in NAMES.items() for n in names}
 #: Titles before names, with the gender they tell; fixed values.
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Dr": "", "Prof": "", "г-н": "m", "г-жа": "f"}
-CUES = frozenset(x.encode() for x in [*GENDER, *TITLES])
-CUT = bytes(32 if b < 0x80 and not (chr(b).isalnum() or b == 0x2D) else b for b in range(256))
+CUES = frozenset(w for x in [*GENDER, *TITLES] for w in re.findall(r"\w+", x))
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
-    ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:ghp|gho|ghs|xox[bap])[_-][0-9A-Za-z-]{20,255}(?!\w)|(?<!\w)sk-[0-9A-Za-z_-]{20,200}(?!\w)|(?<!\w)(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?!\w)")),
-    ("secret", re.compile(r"(?i:(?<![^\W_])(?:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token))\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,256})")),
-    ("ip", re.compile(rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)|(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:])")),
+    ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:ghp|gho|ghs|xox[bap])[_-][0-9A-Za-z_-]{20,}+|(?<!\w)sk-[0-9A-Za-z_-]{20,}+|(?<!\w)(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?!\w)")),
+    ("secret", re.compile(r"(?i:(?<![^\W_])(?:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token))\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,}+)")),
+    ("ip", re.compile(rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)|(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})?::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})?(?![\w:]|\.\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![ -]?\d|\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -68,11 +67,24 @@ GIVEN = re.compile(rf"(?<!\w)({'|'.join(GENDER)})(?!\w)(?: ({WORD}))?")
 Found = tuple[int, int, str, str]
 
 
+def bare(word: str) -> str:
+    """A name without the ending of a possessive."""
+    return re.sub("['’]s$", "", word)
+
+
+def name_parts(word: str, start: int) -> Iterator[tuple[int, str]]:
+    """Where a word's parts between hyphens, and their pieces between apostrophes, begin."""
+    for m in re.finditer("[^-]+", word):
+        yield start + m.start(), bare(m[0])
+        if bare(m[0]) != m[0] or "'" in m[0] or "’" in m[0]:
+            yield from ((start + m.start() + x.start(), x[0]) for x in re.finditer("[^'’]+", m[0]))
+
+
 def names_in(text: str) -> Iterator[Found]:
     """Given names of the list, words after titles, and the surnames that follow either; a surname once found is one everywhere in the text."""
     kinds: dict[str, str] = {}
     for m in TITLED.finditer(text):
-        words = [w for w in m.groups()[1:] if w and w[0].isupper() and w not in TITLES]
+        words = [bare(w) for w in m.groups()[1:] if w and w[0].isupper() and w not in TITLES]
         if m[2][0].isupper():
             for w in words[:1] if len(words) == 2 else ():
                 kinds.setdefault(w, "given" + (GENDER.get(w) or TITLES[m[1]]))
@@ -81,11 +93,16 @@ def names_in(text: str) -> Iterator[Found]:
     for m in GIVEN.finditer(text):
         kinds.setdefault(m[1], "given" + GENDER[m[1]])
         if m[2] and m[2][0].isupper() and m[2] not in TITLES:
-            kinds.setdefault(m[2], "surname")
+            kinds.setdefault(bare(m[2]), "surname")
     if kinds:
         for m in re.finditer(WORD, text):
             if m[0] in kinds:
                 yield m.start(), m.end(), kinds[m[0]], m[0]
+            elif "-" in m[0] or "'" in m[0] or "’" in m[0]:
+                end = 0
+                for s, part in ((m.start(), bare(m[0])), *name_parts(m[0], m.start())):
+                    if part in kinds and s >= end:
+                        yield s, (end := s + len(part)), kinds[part], part
 
 
 def luhn(digits: str) -> int:
@@ -111,6 +128,11 @@ def canonical(kind: str, value: str) -> str:
     return value
 
 
+def compressed(value: str) -> bool:
+    """Whether value is an IPv6 address with left out groups, other than all of them."""
+    return len(value) > 2 and sum(map(bool, value.split(":"))) < 8
+
+
 def entities(text: str) -> list[Found]:
     """start, end, kind and canonical value of the entities, in order; of overlapping ones the first, of those the longest."""
     found: list[Found] = []
@@ -118,10 +140,12 @@ def entities(text: str) -> list[Found]:
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
                 s, e = m.span(m.lastindex or 0)
+                if "::" in text[s:e] and kind == "ip" and not compressed(text[s:e]):
+                    continue
                 if kind == "iban" and text[s + 2 : s + 4] != iban_check(text[s : s + 2], re.sub(" ", "", text[s + 4 : e])):
                     continue
                 found.append((s, e, kind, canonical(kind, text[s:e])))
-    if not CUES.isdisjoint(text.encode("utf-8", "replace").translate(CUT).split()):
+    if not CUES.isdisjoint(re.findall(r"\w+", text)):
         found += names_in(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[Found] = []
@@ -208,6 +232,20 @@ def permuted(key: bytes, tweak: str, text: str, alphabets: list[str] | None = No
 
 
 HEX = "0123456789abcdef"
+#: Characters of a secret beyond which it is permuted in pieces, so that time stays linear and a round's hash covers half a piece.
+LONG = 256
+PIECE = 128
+
+
+def long_permuted(key: bytes, tweak: str, text: str) -> str:
+    """Piece by piece, each under a permutation that the pieces before it choose: still one to one, as they can be taken back in turn."""
+    own = HEX if re.fullmatch("[0-9a-f]+", text) else None
+    before, out = hashlib.sha256(), []
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        out.append(permuted(key, f"{tweak}|{len(text)}|{before.hexdigest()}", piece, [own] * len(piece) if own else None))
+        before.update(piece.encode("utf-8", "surrogatepass"))
+    return "".join(out)
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
@@ -242,6 +280,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "secret":
         head = value[:4] if value[:4] in ("AKIA", "ASIA", "ghp_", "gho_", "ghs_") else ""
         rest = value[len(head) :]
+        if len(rest) > LONG:
+            return head + long_permuted(key, tweak, rest)
         return head + permuted(key, tweak, rest, [HEX] * len(rest) if re.fullmatch("[0-9a-f]{12,}", rest) else None)
     if kind.startswith("given") and value in GENDER:
         names = NAMES[kind[5:]] if kind[5:] else NAMES[GENDER[value]]
