@@ -2,7 +2,7 @@
 
 Every round is two aggregations and two joins on the node id; it makes at most one row for each edge. A node's
 neighbours never meet in one row or window: minima are pre-aggregated before the shuffle, and the join that carries
-them back to the edges is one that adaptive execution splits where a node is hot. Each round is written to the shared
+them back to the edges reads them from a written table, so that adaptive execution can split it where a node is hot. Each round is written to the shared
 folder, so a lost executor costs one round at most. The number of rounds grows as the logarithm of the longest path.
 """
 
@@ -16,13 +16,13 @@ from .common import drop_table, materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import brute
-from rillwork.llm import op2_packing, op3_html, op4_surrogates, op5_decontaminate, op10_lines
+from rillwork.llm import op2_packing, op3_html, op4_surrogates, op5_decontaminate
 from test_core import ODD, SF
 
 LONG = " ".join(f"w{i}" for i in range(40_000))
@@ -226,78 +226,3 @@ def test_op5_small_items_and_parts(spark):
             assert [g[0], g[1], len({k for s in g[2] for k in range(s.s, s.e)}), g[3]] == w
     assert op5_decontaminate.contamination(table, bench.limit(0)).filter("size(items) > 0").count() == 0 and op5_decontaminate.contamination(table.limit(0), bench).count() == 0
     assert op5_decontaminate.clean(table, bench).columns == table.columns
-
-
-# op10
-
-
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        row, last = [i + 1], row
-        for j, y in enumerate(b):
-            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
-    return row[-1]
-
-
-def brute_lines(docs):
-    """Removed (id, line) by all pairs of lines."""
-    lines = {}
-    for key, (i, t) in enumerate(docs):
-        for k, raw in enumerate((t or "").split("\n")):
-            norm = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", raw.lower()).strip(" ")
-            if norm:
-                lines.setdefault(norm, []).append((i is None, i or 0, k, key))
-    norms = list(lines)
-    fps = [f % (1 << 64) for f in op10_lines.line_fingerprints([n.encode() for n in norms])]
-    for n, f in zip(norms[:50], fps):
-        assert f == brute_simhash(n)
-    up = list(range(len(norms)))
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    links = 0
-    for i, a in enumerate(norms):
-        for j in range(i):
-            b = norms[j]
-            if (fps[i] ^ fps[j]).bit_count() <= 3 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
-                up[root(i)] = root(j)
-                links += 1
-    groups = {}
-    for i, n in enumerate(norms):
-        groups.setdefault(root(i), []).extend(lines[n])
-    return {(x[1] if not x[0] else None, x[2]) for own in groups.values() for x in own if x[:3] != min(own)[:3]}, links
-
-
-def brute_simhash(norm):
-    import xxhash
-
-    hs = [xxhash.xxh64_intdigest(w.encode()) for w in norm.split()]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def test_op10(spark, odd):
-    rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(300)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5, 100, 200]))) for _ in range(60)]
-
-    def varied(line):
-        own = line.split()
-        if rng.random() < 0.5:
-            own[rng.randrange(len(own))] += rng.choice(["x", "", "!", ","])
-        return " ".join(own).upper() if rng.random() < 0.2 else " ".join(own)
-
-    docs = [(i, "\n".join(varied(rng.choice(base)) for _ in range(rng.randint(0, 8)))) for i in range(40)]
-    docs += [(100, None), (101, ""), (102, "--\n--\n\n"), (None, base[0] + "\n" + base[0])]
-    want, links = brute_lines(docs)
-    table = spark.createDataFrame([(*d, 7, "r") for d in docs], "doc_id long, text string, line int, norm string")
-    got = {(r.doc_id, k) for r in op10_lines.removed_lines(table).collect() for k in r.removed}
-    assert links > 10 and got == want
-    out = {r.doc_id: r.text for r in op10_lines.dedup_lines(table).collect()}
-    assert out == {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want) for i, t in docs}
-    assert op10_lines.dedup_lines(odd).columns == odd.columns and op10_lines.dedup_lines(odd).count() == len(ODD)
-    assert op10_lines.dedup_lines(odd.limit(0)).count() == 0
-    assert op10_lines.op10_fuzzy_lines(spark, SF).count() == len(rows_of("documents"))
