@@ -112,6 +112,18 @@ def test_op3_boilerplate_of_open_pages(spark):
 
 
 def test_op3_suffix_array():
+    rng = random.Random(2)
+    for _ in range(60):
+        ids = op3_html.np.array([rng.randrange(3) for _ in range(rng.randint(0, 60))], dtype=op3_html.np.int64)
+        order, lcp = op3_html.suffix_array(ids)
+        own = ids.tolist()
+        assert order.tolist() == sorted(range(len(own)), key=lambda i: own[i:])
+        for k in range(1, len(own)):
+            x, y = own[order[k - 1] :], own[order[k] :]
+            assert lcp[k] == next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+
+def test_op3_repeats():
     rng = random.Random(2)
     for _ in range(30):
         streams = [[" ".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))] for _ in range(5)]
@@ -120,8 +132,53 @@ def test_op3_suffix_array():
             for i, s in enumerate(streams):
                 t = " ".join(s).split()
                 for k in range(len(t) - depth + 1):
-                    want.setdefault(op3_html.prefix_hash(t[k : k + depth]), set()).add(i)
-            assert dict(op3_html.suffix_runs(streams, depth)) == {h: len(p) for h, p in want.items()}
+                    h = op3_html.window_hashes(op3_html.token_hashes(t[k : k + depth]), depth)[0]
+                    want.setdefault(h, set()).add(i)
+            h, n, page = op3_html.repeats(streams, depth)
+            assert dict(zip(h.tolist(), n.tolist())) == {h: len(p) for h, p in want.items()}
+            assert all(p in want[x] for x, p in zip(h.tolist(), page.tolist()))
+
+
+def test_op3_copies_of_a_page_are_one(spark):
+    text = " ".join(f"c{k}" for k in range(40))
+    rows = [(i, f"http://h/{i}", f"<div><p>{text}</p></div>") for i in range(30)]
+    got = op3_html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {text}
+
+
+def test_op3_names_that_hold_most_of_an_article(spark):
+    long = " ".join(f"c{k}" for k in range(200))
+    rows = [(1, "http://a/1", f'<article><div class="form-story"><p>{long}</p></div><div class="share"><p>tell</p></div></article>'), (2, "http://a/2", f'<div class="widget"><p>{long}</p></div>')]
+    got = {r.page_id: r.text for r in op3_html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].startswith(long) and got[2] == long
+
+
+def kept_and_removed(spark, folder, strip):
+    """Shares of the article words that are kept, and of the other words that are removed, by pages whose markup is stripped."""
+    import html
+    from collections import Counter
+
+    pages = pq.read_table(f"{folder}/pages.parquet").to_pylist()
+    table = spark.createDataFrame([(p["page_id"], p["url"], re.sub(strip, "", p["html"])) for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: r for r in op3_html.main_texts(table).collect()}
+    words = lambda x: Counter(html.unescape(re.sub("<[^>]*>", " ", x)).split())
+    kept = article = removed = other = 0
+    for p in pages:
+        body = p["html"][p["html"].index("<body>") :]
+        inside = words(body[body.index("<article>") : body.index("</article>")])
+        outside = words(body[: body.index("<article>")] + body[body.index("</article>") :])
+        own = Counter(got[p["page_id"]].text.split())
+        kept, article = kept + sum((own & inside).values()), article + sum(inside.values())
+        removed, other = removed + sum((outside - (own - inside)).values()), other + sum(outside.values())
+    decided = sum(r.n_covered is not None for r in got.values()), sum((r.n_covered or 0) > 0 for r in got.values())
+    print(folder, "kept", round(kept / article, 4), "removed", round(removed / other, 4), "pages by the array, with repeats", decided)
+    return kept / article, removed / other, decided
+
+
+def test_op3_without_its_marks(spark):
+    strip = r"</?article>|</?nav>| (?:class|id)=\"[^\"]*\""
+    kept, removed, decided = kept_and_removed(spark, "/root/testdata/sf0.01", strip)
+    assert kept >= 0.9 and removed >= 0.9 and decided[0] == 250
 
 
 def test_op3_given_pages(spark):
