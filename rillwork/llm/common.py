@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,10 @@ def row_keys(*cols: str) -> list[Column]:
     """k1, k2: 128 bits that stand for a row's id and content where results meet their rows again. They are never null, so null ids join too. Rows equal in all of cols count as the same row."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols]
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("k2")]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows: what a task makes of texts in Python takes several times their size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -9,7 +9,8 @@ permitted length; in the end every bin is downsized to the smallest permitted le
 rule of the least total cost is taken.
 
 Rows are dealt to shards of about SHARD_ROWS by hash, whose number grows with the table; a shard is packed within one
-task in bounded memory, and no key decides the dealing, so there are no hot shards. Only lengths are shuffled.
+task in bounded memory. Rows that are equal in id and text are numbered and the number is hashed too, so there are no hot shards,
+and the same rows are packed alike however their files are split. Only lengths are shuffled.
 
 Cases: a null or empty text is the end token alone. Rows with equal or null ids are packed each. Ties go by id and row
 key. An empty table gives no rows. Other columns are neither read nor returned.
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, row_keys, text_bytes
-from .tokens import PieceLengths, tokenizer_path
+from .common import materialise, read, row_keys, sliced, text_bytes
+from .tokens import piece_lengths, tokenizer_path
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 MODEL = "piece_bpe_32k.model"
 LONG = 32_768
 START = 64
 SHARD_ROWS = 20_000
+#: Equal rows that are numbered at once.
+BLOCK = 1 << 16
 
 
 def cost(size: int) -> float:
@@ -79,8 +82,8 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = PieceLengths(path)
-        for b in batches:
+        lengths = piece_lengths(path)
+        for b in sliced(batches):
             n = [x + 1 for x in lengths.count([t.decode("utf-8", "replace") for t in b.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(n, pa.int64())], names=["doc_id", "k1", "k2", "n"])
 
@@ -121,14 +124,19 @@ def packing(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, shard_rows: int
     """lengths: doc_id, k1, k2, n. A row for each piece: doc_id, piece, start and length (tokens of the document), bin_id, capacity, offset (in the bin)."""
     kind = lengths.schema["doc_id"].dataType.simpleString()
     sizes = tuple(sorted(sizes))
-    held = materialise(lengths.withColumn("row", F.monotonically_increasing_id()))
-    n = max(1, -(-held.count() // shard_rows))
+    # Equal rows become one with their number, and are numbered when they are dealt out again, in two steps, as an array
+    # can't hold any number: so copies go to different shards, and the same rows to the same ones however their files are split.
+    held = materialise(lengths.groupBy("doc_id", "k1", "k2", "n").agg(F.count("*").alias("times")))
+    n = max(1, -(-(held.agg(F.sum("times")).first()[0] or 0) // shard_rows))
+    last = F.col("times") - 1
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(BLOCK).cast("long"))))
+    held = held.withColumn("row", F.explode(F.sequence("block", F.least(last, F.col("block") + BLOCK - 1))))
     shard = F.pmod(F.xxhash64("k1", "k2", "row"), F.lit(n)).alias("shard")
     most = F.lit(sizes[-1])
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - 1), most.cast("long")))
     pieces = held.select(shard, "doc_id", "k1", "k2", F.coalesce("n", F.lit(0)).alias("n"), start.alias("start"))
     pieces = pieces.select("shard", "doc_id", "k1", "k2", (F.col("start") / most).cast("long").alias("piece"), "start", F.least(most, F.col("n") - F.col("start")).cast("long").alias("length"))
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "k1", "k2", "piece").select("shard", "doc_id", "piece", "start", "length")
+    dealt = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "k1", "k2", "piece", "start").select("shard", "doc_id", "piece", "start", "length")
     return dealt.mapInArrow(_pack_shards(sizes), f"doc_id {kind}, piece long, start long, length long, bin_id long, capacity long, offset long")
 
 

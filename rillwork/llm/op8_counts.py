@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_bytes
-from .tokens import PieceLengths, tokenizer_path
+from .common import read, sliced, text_bytes
+from .tokens import PieceLengths, tokenizer_path, with_frequent
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -32,7 +32,7 @@ HELD = 200_000
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[bytes] = Counter()
-    for b in batches:
+    for b in sliced(batches):
         for t in b.column("text").to_pylist():
             seen.update(t.split(b" "))
             if len(seen) > HELD:
@@ -56,8 +56,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, path, table_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = PieceLengths(path, table.value)
-        for b in batches:
+        lengths = with_frequent(path, table.value)
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             n = lengths.count([t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

@@ -110,13 +110,67 @@ def test_op6(spark, odd, none):
     assert op6_codes.read_back(op6_codes.write_segments(none)).count() == 0
 
 
+def test_op6_one_token_by_offset(spark):
+    """A token's bytes are where the header says, in a plain file."""
+    import struct
+
+    row = op6_codes.write_segments(spark.read.parquet(f"{SF}/documents.parquet")).first()
+    path = row.file.removeprefix("file://")
+    want = op6_codes.open_segment(row.file).ids(0, row.n_tokens).tolist()
+    with open(path, "rb") as f:
+        _, bits, levels, _, n = struct.unpack("<4sBBHQ", f.read(16))
+        sizes = struct.unpack(f"<{levels}Q", f.read(8 * levels))
+        assert (bits, n) == (8, row.n_tokens) and sizes[0] == n
+        for i in (0, 1, 777, n - 1):
+            f.seek(16 + 8 * levels + i)
+            assert f.read(1)[0] == want[i] & 255
+    reads = []
+    held = op6_codes.open_segment(row.file)
+    own = op6_codes.Segment(lambda at, size: reads.append(size) or held.read(at, size))
+    assert [own.access(i) for i in (5, n // 2, n - 1)] == [want[5], want[n // 2], want[n - 1]]
+    assert max(reads[2:]) <= op6_codes.RANK_BITS // 8 and len(reads) < 40
+
+
+def test_op6_files_of_other_settings(tmp_path):
+    """Where a tokenizer file has other settings, the library takes whole texts."""
+    import json
+
+    from rillwork.llm.tokens import ByteLevelIds, is_plain
+    from tokenizers import Tokenizer
+
+    held = json.load(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8"))
+    held["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(held))
+    assert is_plain(tokenizer_path("byte_bpe_50k.json")) and not is_plain(str(other))
+    texts = ["one two, three", "it's\n\nso"]
+    library = Tokenizer.from_file(str(other))
+    assert [list(memoryview(x).cast("I")) for x in ByteLevelIds(str(other)).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op6_strings_like_the_library():
+    import random
+
+    from rillwork.llm.tokens import ByteLevelIds
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    parts = ["a", "The", " ", "  ", "\n", "\n\n", "\t", ",", ".", "...", "'s", "'", "12", "é", "ß", "!", "?", ":", ";", "-", "_", "x1", "1x", "日本", "\xa0", "\0", "ª", "<|endoftext|>", "²", "½", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    path = tokenizer_path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    for most in (400_000, 50):
+        got = ByteLevelIds(path, most).encode(texts)
+        assert all(list(memoryview(g).cast("I")) == w.ids for g, w in zip(got, want))
+
+
 def test_op6_random_access():
     import numpy as np
 
     rng = np.random.default_rng(5)
     for n, bits in ((0, 8), (1, 8), (511, 8), (512, 4), (5000, 8), (5000, 3), (5000, 1)):
         ids = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 33, n, dtype=np.uint64)).astype(np.uint32)
-        s = op6_codes.Segment(op6_codes.encode_segment(ids, bits))
+        s = op6_codes.Segment.of(op6_codes.encode_segment(ids, bits))
         assert [s.access(i) for i in range(0, n, 7)] == ids[::7].tolist()
         for a, b in ((0, n), (n // 3, n // 2), (n, n), (max(0, n - 1), n)):
             assert s.ids(a, b).tolist() == ids[a:b].tolist()
