@@ -1,26 +1,37 @@
 """Surrogates for personal data.
 
-Entities (e-mail addresses, telephone, card, social security and account numbers, IP addresses, keys and passwords,
-names) are replaced by keyed surrogates of the same type and format: digits for digits, letters of the same script, case
-and kind (vowel or consonant) for letters, other signs as they are; card and account numbers keep valid check digits;
-given names are replaced by names of the same gender.
-
-A surrogate is a keyed permutation of the strings of its entity's format: with pi a Feistel network over the mixed radix
-number that the free characters spell, x becomes pi(pi^-1(x) + c). So it is never x itself, it needs no table, one
-entity gets one surrogate everywhere (coreference), and two entities of one format never share one (distinctness).
-Spellings of one entity (an address in other case, a number with other signs between) share their surrogate's characters.
+Entities (e-mail addresses, telephone, card, social security and account numbers, IP addresses, keys and passwords, dates of
+birth, postal addresses, names) are replaced by keyed surrogates of the same type and format: digits for digits, letters of
+the same script, case and kind (vowel or consonant) for letters, other signs as they are; card and account numbers keep
+valid check digits, dates stay dates. Given names of the lists are replaced by names of the same gender, surnames of the
+lists by surnames of the same list, and other names by names of syllables of their script, with the ending that tells the
+gender where there is one.
+
+Names are found by evidence: a title, a word of introduction or an honorific, or two or three capitalised words of which
+one is a known given name or surname or has a surname's ending. A known given name alone is no evidence, as many are words
+too. What is a name once is one everywhere in the text, and its surrogate depends on the name alone, whatever its title.
+
+Numbers, addresses and keys go through a keyed permutation of the strings of their format: with pi a Feistel network over
+the mixed radix number that the free characters spell, x becomes pi(pi^-1(x) + c). So it is never x itself, it needs no
+table, one entity gets one surrogate everywhere (coreference), and two entities of one format never share one
+(distinctness). Spellings of one entity (an address in other case, a number with other signs between) share their
+surrogate's characters. Names of syllables are a keyed hash; the collision checks keep them apart.
 
 Collision checks: the distinct entities of the corpus are gathered (hashes and values of entities only are shuffled,
 after each task has made its own distinct) and every surrogate is compared with all others and with all entities, as it
-must not name somebody else. Those that collide take the next permutation until no collision is left. What remains is a
-table of the few exceptions, which tasks look up: broadcast if it has at most BROADCAST_MAX rows, else joined by row.
+must not name somebody else. Those that collide take the next permutation until no collision is left; from half of the
+attempts on the formats of short entities widen, so that a full format can't hold the loop up, and if collisions are left
+after the last attempt, an error says so. What remains is a table of the few exceptions, which tasks look up: broadcast if
+it has at most BROADCAST_MAX rows, else joined by row.
 
 Cases: a null text stays null. Texts of any length are searched whole, in time linear in their length. Rows with equal
-or null ids are treated each. An empty table gives no rows. Other columns are passed through, whatever their names.
+or null ids are treated each. An empty table gives no rows. Other columns are passed through, whatever their names; where
+one has the name of the entities' column, that is written with "_" behind it.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
@@ -32,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, row_keys
+from .common import free_name, materialise, read, row_keys, sliced
 
 KEY = b"rillwork surrogate key"
 ROUNDS = 6
@@ -45,9 +56,29 @@ NAMES = {
     "m": "Adam Alexander Andrew Anthony Antonio Bernd Carlos Charles Christopher Daniel David Edward Felix Francois George Hans Henry Hugo James Javier John Jose Joseph Juan Karl Klaus Louis Lucas Luis Mark Martin Matthew Michael Miguel Oscar Paul Peter Pierre Richard Robert Thomas William".split(),
 }
 GENDER = {n: g for g, names in NAMES.items() for n in names}
-#: Titles before names, with the gender they tell; fixed values.
-TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Dr": "", "Prof": "", "г-н": "m", "г-жа": "f"}
-CUES = frozenset(w for x in [*GENDER, *TITLES] for w in re.findall(r"\w+", x))
+#: Surnames by where they are frequent; fixed values.
+SURNAMES = {
+    "english": "Smith Jones Taylor Brown Williams Wilson Johnson Davies Robinson Wright Thompson Evans Walker Roberts Hughes Edwards Miller Davis Moore Anderson Jackson Harris Clark Lewis Kelly Murphy Kennedy".split(),
+    "german": "Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Schäfer Koch Bauer Richter Klein Wolf Schröder Neumann".split(),
+    "romance": "Dubois Durand Moreau Laurent Lefebvre Leroy Garcia García Martinez Lopez López Gonzalez Hernandez Fernandez Sanchez Perez Rodriguez Rossi Russo Ferrari Silva Santos Oliveira".split(),
+    "slavic": "Ivanov Ivanova Petrov Petrova Novak Kowalski Nowak Horvat Kovač Kuznetsov Sokolov Popov".split(),
+    "asian": "Wang Zhang Chen Liu Yang Huang Zhao Zhou Nguyen Tran Pham Kim Park Choi Tanaka Suzuki Sato Watanabe Yamamoto Sharma Singh Kumar Patel Gupta Khan Ali Hussain Ahmed".split(),
+}
+FAMILY = {n: g for g, names in SURNAMES.items() for n in names}
+#: Given names that are also frequent words, places or brands; fixed values.
+ALSO_WORDS = frozenset("Mark Rosa Victoria Charlotte Nancy Carmen Felix Oscar Nora Linda Helena Eva Hugo Ines Claire".split())
+#: Endings of surnames; fixed values.
+ENDINGS = re.compile(r"(?:\w{2}(?:ova|eva|enko|ovich|evich|ovic|ović|sky|ski|ska|skaya|wicz|czyk|escu|dottir|dóttir|sson|ssen|berg|stein|mann|poulos|idis|yan|ian|shvili|adze)|(?:Mc|Mac|O['’])[A-Z]\w+|\w{2}(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ский|ская|цкий|цкая|енко|чук))$")
+#: Titles before names; fixed values.
+TITLES = "Mr Mrs Ms Miss Mx Sir Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sra г-н г-жа господин госпожа".split()
+#: What introduces a name; fixed values.
+INTRODUCED = re.compile(r"(?i:(?<!\w)(?:my name is|name ?:|i am|i['’]m|named|dear|regards,|sincerely,|signed,?|je m['’]appelle|mein name ist|ich heiße|me llamo|mi nombre es|меня зовут))\s+")
+#: Words that make capitalised ones no person; fixed values.
+PLACES = frozenset("Street Road Avenue Lane Drive Station Park County City Town Airport University Hospital Island Islands Lake River Falls Beach Hall House Bridge Square School College Church Hotel Day Award Prize Museum Company Bank Group North South East West New Saint St The January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
+#: Frequent first signs of Chinese names, and what follows a name in Chinese or Japanese; fixed values.
+HAN_NAMES = "王李张張刘劉陈陳杨楊赵趙黄黃周吴吳徐孙孫胡朱高林何郭马馬罗羅梁宋郑鄭谢謝韩韓唐冯馮于董萧程曹袁邓鄧许許傅沈曾彭吕呂"
+HAN_GIVEN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰红建文志国云海春辉晨雪"
+HONORED = re.compile(rf"([{HAN_NAMES}][\u4e00-\u9fff]{{1,2}})(?=先生|女士|小姐|老师)|(?<=我叫)([{HAN_NAMES}][\u4e00-\u9fff]{{1,2}})|(?<=姓名[::])([{HAN_NAMES}][\u4e00-\u9fff]{{1,2}})|(?<![\u4e00-\u9fff])([\u4e00-\u9fff]{{2,4}})(?=さん|様)")
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = [
@@ -60,9 +91,25 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{1,4}){2,5}(?!\w)")),
 ]
+MONTHS = "January February March April May June July August September October November December".split()
+BORN = re.compile(rf"(?i:(?<!\w)(?:born|birth ?date|date of birth|birthday|dob|d\.o\.b\.|geboren|geburtsdatum|née?|naissance|nacid[oa]|nacimiento|родил(?:ся|ась)|рождения))[^\d\n]{{0,20}}?(\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})(?!\d)", re.S)
+BORN_MONTH = re.compile(rf"(?i:(?<!\w)(?:born|birthday)(?: on)? )((?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})")
+ADDRESS = [
+    re.compile(r"(?<!\w)(\d{1,5} (?:[A-Z][a-z]+ ){1,2}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Terrace|Crescent))(?!\w)"),
+    re.compile(r"(?<!\w)([A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse) \d{1,4}[a-z]?)(?!\w)"),
+    re.compile(r"(?<!\w)(\d{1,4},? (?:rue|avenue|boulevard|place|chemin) (?:de la |du |de |des |d['’])?[A-ZÀ-Ý][\wà-ÿ-]+)"),
+    re.compile(r"(?<!\w)((?:Calle|Avenida|Plaza|Paseo) (?:de (?:la )?|del )?[A-ZÀ-Ý][\wà-ÿ-]+,? \d{1,4})(?!\w)"),
+]
+ADDRESS_CUE = re.compile(r"\d (?:[A-Z]|rue|av|boul|pl|ch)|[a-zß] \d|, \d")
+KEPT_WORDS = frozenset("Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Terrace Crescent Calle Avenida Plaza Paseo".split())
+UPPER = r"A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮĶĹĻŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽΑ-ΩЀ-Я"
 WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-TITLED = re.compile(rf"(?<![\w-])({'|'.join(map(re.escape, TITLES))})\.?[ \n]({WORD})(?: ({WORD}))?")
-GIVEN = re.compile(rf"(?<!\w)({'|'.join(GENDER)})(?!\w)(?: ({WORD}))?")
+NAME = rf"[{UPPER}](?:[^\W\d_]+|['’][{UPPER}][^\W\d_]+)(?:['’-][^\W\d_]+)*"
+BETWEEN = r"(?:(?:de|da|del|di|van|von|der|den|bin|la|le) ){0,2}"
+TITLED = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, TITLES))})\.?[ \n]{BETWEEN}({NAME})(?: {BETWEEN}({NAME}))?(?: {BETWEEN}({NAME}))?")
+RUN = re.compile(rf"(?<![\w'’-])({NAME})(?: [{UPPER}]\.)? {BETWEEN}({NAME})(?: {BETWEEN}({NAME}))?")
+LONE = re.compile(rf"[“\"«„‘(]?(?<![\w'’-])({'|'.join(GENDER)})(?:-(?:{'|'.join(GENDER)}))?(?![\w-])")
+NEXT = re.compile(rf"({NAME})(?: {BETWEEN}({NAME}))?(?: {BETWEEN}({NAME}))?")
 
 Found = tuple[int, int, str, str]
 
@@ -80,29 +127,71 @@ def name_parts(word: str, start: int) -> Iterator[tuple[int, str]]:
             yield from ((start + m.start() + x.start(), x[0]) for x in re.finditer("[^'’]+", m[0]))
 
 
+def name_kind(word: str) -> str:
+    """By the name alone: one of the given names, of the surnames, or another."""
+    plain = name_value(word)
+    return "given" if plain in GENDER else "family" if plain in FAMILY else "name"
+
+
+def name_value(word: str) -> str:
+    return word.capitalize() if word.isupper() and len(word) > 1 else word
+
+
+def evident(words: list[str]) -> bool:
+    """Whether one of two or three capitalised words shows that they are a person's name."""
+    if any(w in PLACES for w in words) or len(set(words)) == 1:
+        return False
+    plain = [name_value(bare(w)) for w in words]
+    return any(w in GENDER for w in plain[:-1]) or any(w in FAMILY or ENDINGS.search(w) for w in plain)
+
+
 def names_in(text: str) -> Iterator[Found]:
-    """Given names of the list, words after titles, and the surnames that follow either; a surname once found is one everywhere in the text."""
-    kinds: dict[str, str] = {}
+    """Names that evidence shows, wherever they stand in the text."""
+    kinds: set[str] = set()
     for m in TITLED.finditer(text):
-        words = [bare(w) for w in m.groups()[1:] if w and w[0].isupper() and w not in TITLES]
-        if m[2][0].isupper():
-            for w in words[:1] if len(words) == 2 else ():
-                kinds.setdefault(w, "given" + (GENDER.get(w) or TITLES[m[1]]))
-            for w in words[-1:]:
-                kinds.setdefault(w, "given" + GENDER[w] if w in GENDER else "surname")
-    for m in GIVEN.finditer(text):
-        kinds.setdefault(m[1], "given" + GENDER[m[1]])
-        if m[2] and m[2][0].isupper() and m[2] not in TITLES:
-            kinds.setdefault(bare(m[2]), "surname")
+        kinds.update(w for w in map(bare, filter(None, m.groups())) if w not in TITLES and w not in PLACES)
+    for cue in INTRODUCED.finditer(text):
+        m = NEXT.match(text, cue.end())
+        if m and m[1] not in TITLES:
+            words = [bare(w) for w in m.groups() if w]
+            # One word after a word of introduction may begin a sentence; two are a name, or one that is known as such.
+            if len(words) > 1 and not any(w in PLACES for w in words) or name_kind(words[0]) != "name":
+                kinds.update(words)
+    at = 0
+    while m := RUN.search(text, at):
+        words = [w for w in m.groups() if w]
+        if words[0] in TITLES:
+            at = m.end(1)
+            continue
+        if len(words) == 3 and name_kind(words[0]) == "name" and text[max(0, m.start() - 4) : m.start()].rstrip(" \"'(")[-1:] in ("", ".", "!", "?", "\n", ":") and evident(words[1:]):
+            words = words[1:]  # the first word begins a sentence
+        while len(words) > 1 and not evident(words):
+            words = words[1:] if len(words) == 3 and evident(words[1:]) else words[:-1]
+        if len(words) > 1:
+            kinds.update(map(bare, words))
+            at = m.end()
+        else:
+            at = m.end(1)
+    for m in LONE.finditer(text):
+        quoted, hyphen = m[0][0] in "“\"«„‘(", "-" in m[0]
+        begins = text[max(0, m.start() - 4) : m.start()].rstrip(" ")[-1:] in ("", ".", "!", "?", "\n", ":")
+        if m[1] not in ALSO_WORDS and (quoted or hyphen or not begins):
+            kinds.update(re.findall(r"\w+", m[0]))
+    kinds = {name_value(w) for w in kinds}
     if kinds:
         for m in re.finditer(WORD, text):
-            if m[0] in kinds:
-                yield m.start(), m.end(), kinds[m[0]], m[0]
+            if name_value(m[0]) in kinds:
+                yield m.start(), m.end(), name_kind(m[0]), name_value(m[0])
             elif "-" in m[0] or "'" in m[0] or "’" in m[0]:
                 end = 0
                 for s, part in ((m.start(), bare(m[0])), *name_parts(m[0], m.start())):
-                    if part in kinds and s >= end:
-                        yield s, (end := s + len(part)), kinds[part], part
+                    if name_value(part) in kinds and s >= end:
+                        yield s, (end := s + len(part)), name_kind(part), name_value(part)
+
+
+def han_names_in(text: str) -> Iterator[Found]:
+    for m in HONORED.finditer(text):
+        yield (*m.span(m.lastindex), "name", m[m.lastindex])
 
 
 def luhn(digits: str) -> int:
@@ -145,8 +234,13 @@ def entities(text: str) -> list[Found]:
                 if kind == "iban" and text[s + 2 : s + 4] != iban_check(text[s : s + 2], re.sub(" ", "", text[s + 4 : e])):
                     continue
                 found.append((s, e, kind, canonical(kind, text[s:e])))
-    if not CUES.isdisjoint(re.findall(r"\w+", text)):
-        found += names_in(text)
+        for pattern in (BORN, BORN_MONTH):
+            found += [(*m.span(1), "date", m[1]) for m in pattern.finditer(text) if date_of(m[1])]
+        if ADDRESS_CUE.search(text):
+            found += [(*m.span(1), "address", m[1]) for pattern in ADDRESS for m in pattern.finditer(text)]
+    found += names_in(text)
+    if "先" in text or "女" in text or "小" in text or "老" in text or "叫" in text or "名" in text or "さん" in text or "様" in text:
+        found += han_names_in(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[Found] = []
     for x in found:
@@ -155,6 +249,56 @@ def entities(text: str) -> list[Found]:
     return out
 
 
+def date_of(value: str) -> tuple[datetime.date, str] | None:
+    """A date and its format."""
+    for form in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%d %B %Y", "%B %d, %Y"):
+        try:
+            return datetime.datetime.strptime(value, form).date(), form
+        except ValueError:
+            pass
+    return None
+
+
+#: Syllables by script and endings that tell the gender; fixed values.
+SYLLABLES = {
+    "latin": ("b c d f g h j k l m n p r s t v w br dr gr kr st tr".split(), "a e i o u".split(), ["", "n", "l", "r", "s"]),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х ст гр кр".split(), "а е и о у".split(), ["", "н", "л", "р", "с"]),
+    "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο".split(), ["", "ν", "ρ", "λ"]),
+}
+GENDERED = re.compile("(?:ova|eva|skaya|ska|ская|цкая|ский|цкий|ова|ева|ёва|ина|енко|ов|ев|ёв|ин|a|а|α|á)$")
+
+
+def script_of(word: str) -> str:
+    c = word[0]
+    return "latin" if c < "Ͱ" else "greek" if c < "Ѐ" else "cyrillic" if c < "\u0530" else "han" if "\u4e00" <= c <= "\u9fff" else ""
+
+
+def made_name(key: bytes, tweak: str, word: str, more: bool) -> str:
+    """A name of syllables by a keyed hash of word; its parts between hyphens each."""
+    script = script_of(word)
+    n = int.from_bytes(hmac.digest(key, f"{tweak}|{word}".encode("utf-8", "surrogatepass"), hashlib.sha512), "big")
+    if script == "han":
+        n, i = divmod(n, len(HAN_NAMES))
+        out = HAN_NAMES[i]
+        for _ in range(max(1, len(word) - 1) + more):
+            n, i = divmod(n, len(HAN_GIVEN))
+            out += HAN_GIVEN[i]
+        return out
+    if not script:
+        return permuted(key, tweak, word)
+    heads, vowels, tails = SYLLABLES[script]
+    kept = GENDERED.search(word.lower()) if len(word) > 3 else None
+    out = ""
+    for k in range(3 + more):
+        n, i = divmod(n, len(heads))
+        n, j = divmod(n, len(vowels))
+        n, t = divmod(n, len(tails))
+        out += heads[i] + ("" if kept and k == 2 + more else vowels[j] + tails[t])
+    out += kept[0] if kept else ""
+    out = out.capitalize()
+    return out.upper() if word.isupper() and len(word) > 1 else out
+
+
 #: Letters of scripts whose block also has letters that are out of use; fixed values.
 MODERN = [("Α", "Ω"), ("α", "ω"), ("А", "Я"), ("а", "я"), ("À", "Þ"), ("ß", "ÿ"), ("あ", "ん"), ("ア", "ン")]
 
@@ -251,10 +395,33 @@ def long_permuted(key: bytes, tweak: str, text: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """Of a canonical value, in canonical spelling."""
     tweak = f"{kind}|{attempt}"
+    wide = attempt >= ATTEMPTS // 2
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        return permuted(key, tweak, local) + "@" + ".".join([*(permuted(key, f"domain|{attempt}", x) for x in labels[:-1]), labels[-1]])
+        more = permuted(key, f"{tweak}|{value}", "000") if wide else ""
+        return permuted(key, tweak, local) + more + "@" + ".".join([*(permuted(key, f"domain|{attempt}", x) for x in labels[:-1]), labels[-1]])
+    if kind == "date":
+        day, form = date_of(value)
+        low = datetime.date(1930, 1, 1)
+        span = (datetime.date(2010, 1, 1) - low).days
+        # Days before or after the span take the days of another one of its length.
+        era, at = divmod((day - low).days, span)
+        new = low + datetime.timedelta(days=era * span + Permutation(key, f"date|{era}", (span,))([at])[0])
+        made = new.strftime(form)
+        return made if re.search(r"(?<!\d)0\d", value) or form == "%Y-%m-%d" else re.sub(r"(?<!\d)0(\d)(?!\d*:)", r"\1", made)
+    if kind == "address":
+        parts = re.findall(r"\d+|[^\W\d_]+|.", value, re.S)
+        out = []
+        for x in parts:
+            if x.isdigit():
+                out.append(permuted(key, f"{tweak}|{value}", x).lstrip("0") or "7")
+            elif x[0].isupper() and x not in KEPT_WORDS:
+                tail = next((t for t in ("straße", "strasse", "weg", "platz", "allee", "gasse") if x.endswith(t)), "")
+                out.append(made_name(key, tweak, x.removesuffix(tail) or x, wide) + tail)
+            else:
+                out.append(x)
+        return "".join(out)
     if kind == "card":
         if luhn(value[:-1]) == int(value[-1]):
             body = value[0] + permuted(key, f"{tweak}|luhn", value[1:-1])
@@ -269,6 +436,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         if ":" in value:
             return permuted(key, tweak, value, [HEX if c in HEX else HEX.upper() if c in HEX.upper() else "" for c in value])
         own = [int(x) for x in value.split(".")]
+        if wide:
+            return ".".join(map(str, Permutation(key, f"{tweak}|wide", (256,) * 4)(own)))
         low = [0 if x < 10 else 10 if x < 100 else 100 for x in own]
         sizes = [{0: 10, 10: 90, 100: 156}[x] for x in low]
         turned = Permutation(key, f"{tweak}|{sizes}", tuple(sizes))([x - b for x, b in zip(own, low)])
@@ -283,10 +452,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         if len(rest) > LONG:
             return head + long_permuted(key, tweak, rest)
         return head + permuted(key, tweak, rest, [HEX] * len(rest) if re.fullmatch("[0-9a-f]{12,}", rest) else None)
-    if kind.startswith("given") and value in GENDER:
-        names = NAMES[kind[5:]] if kind[5:] else NAMES[GENDER[value]]
-        at = Permutation(key, tweak, (len(names),))([names.index(value)])[0]
-        return names[at]
+    if kind in ("given", "family"):
+        names = NAMES[GENDER[value]] if kind == "given" else SURNAMES[FAMILY[value]]
+        return names[Permutation(key, tweak, (len(names),))([names.index(value)])[0]]
+    if kind == "name":
+        return "-".join(made_name(key, tweak, x, wide) for x in value.split("-") if x)
     return permuted(key, tweak, value)
 
 
@@ -297,16 +467,16 @@ def spelled(kind: str, original: str, new: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         own = iter(new.lstrip("+"))
         return "".join(next(own) if c.isalnum() else c for c in original)
-    return new
+    return new.upper() if kind in ("given", "family", "name") and original.isupper() and len(original) > 1 else new
 
 
 def kind_group(kind: str) -> str:
     """Kinds whose surrogates are compared with each other."""
-    return "name" if kind.startswith("given") or kind == "surname" else kind
+    return "name" if kind in ("given", "family") else kind
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         found = list({x[2:] for t in b.column("text").to_pylist() if t for x in entities(t)})
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], names=["kind", "value"])
 
@@ -328,15 +498,17 @@ def exceptions(docs: DataFrame, text_col: str = "text", key: bytes = KEY, attemp
     now = materialise(known.withColumn("attempt", F.lit(0)).mapInArrow(_surrogates(key), schema))
     real = now.select("grp", F.col("value").alias("made")).distinct()
     for _ in range(attempts):
-        # One entity may have several kinds of name; its own least kind goes first. A name of the list takes another by design, so only its distinctness counts.
+        # A name of the lists takes another by design, and a date names nobody, so only their distinctness counts.
         twice = now.groupBy("grp", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value", "kind")).alias("first")).filter("n > 1")
         second = now.join(twice, ["grp", "made"]).filter(F.struct("attempt", "value", "kind") > F.col("first")).select("kind", "value")
-        taken = now.filter(~F.col("kind").startswith("given")).join(real, ["grp", "made"], "left_semi").select("kind", "value")
+        taken = now.filter(~F.col("kind").isin("given", "family", "date")).join(real, ["grp", "made"], "left_semi").select("kind", "value")
         losers = materialise(second.union(taken).distinct())
         if losers.isEmpty():
             break
         moved = now.join(losers, ["kind", "value"], "left_semi").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_surrogates(key), schema)
         now = materialise(now.join(losers, ["kind", "value"], "left_anti").unionByName(moved))
+    else:
+        raise RuntimeError(f"surrogates still collide after {attempts} attempts: the formats are too narrow for this corpus")
     return now.filter("attempt > 0").select("kind", "value", "attempt")
 
 
@@ -357,13 +529,13 @@ def replaced(text: str, key: bytes, attempt_of: dict[tuple[str, str], int], cach
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
 
-def _replace(key: bytes, table):
+def _replace(key: bytes, table, text_name: str, attempts_name: str, entities_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for b in batches:
+        for b in sliced(batches):
             texts, spans = [], []
-            own = b.column("__attempts").to_pylist()
-            for t, mine in zip(b.column("__text").to_pylist(), own):
+            own = b.column(attempts_name).to_pylist()
+            for t, mine in zip(b.column(text_name).to_pylist(), own):
                 if mine:
                     t, found = replaced(t, key, {(x["kind"], x["value"]): x["attempt"] for x in mine}, {})
                 elif t is not None:
@@ -372,14 +544,15 @@ def _replace(key: bytes, table):
                     found = []
                 texts.append(t)
                 spans.append(found)
-            b = b.drop_columns(["__attempts"])
-            yield b.set_column(b.schema.get_field_index("__text"), pa.field("__text", pa.string()), pa.array(texts, pa.string())).append_column("__entities", pa.array(spans, SPANS))
+            b = b.drop_columns([attempts_name])
+            b = b.set_column(b.schema.get_field_index(text_name), pa.field(text_name, pa.string()), pa.array(texts, pa.string()))
+            yield b.append_column(entities_name, pa.array(spans, SPANS))
 
     return run
 
 
 def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         rows = [(k1, k2, *x) for k1, k2, t in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text"))) if t for x in {y[2:] for y in entities(t)}]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["k1", "k2", "kind", "value"])
@@ -388,22 +561,24 @@ def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY, broadcast_max: int = BROADCAST_MAX, entities_col: str = "entities") -> DataFrame:
     """The documents with all their columns, text_col with surrogates, and entities_col: kind, start and end in the old text, surrogate."""
     odd = materialise(exceptions(docs, text_col, key))
-    given = docs.select(*[F.col(f"`{c}`").cast("string").alias("__text") if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-    many = odd.count() > broadcast_max
-    none = F.expr("cast(null as array<struct<kind:string,value:string,attempt:int>>)").alias("__attempts")
-    if many:
+    names = docs.columns
+    text_name, attempts_name, entities_name = (free_name(names, x) for x in ("text__", "attempts__", "entities__"))
+    attempts = "array<struct<kind:string,value:string,attempt:int>>"
+    columns = [F.col(f"`{c}`").cast("string").alias(text_name) if c == text_col else F.col(f"`{c}`") for c in names]
+    if odd.count() > broadcast_max:
         found = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(_of_rows, "k1 long, k2 long, kind string, value string")
-        own = found.join(odd, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("__attempts"))
-        rows = docs.select(*row_keys(id_col, text_col), F.struct(*[F.col(f"`{c}`").cast("string").alias("__text") if c == text_col else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        given = rows.join(own, ["k1", "k2"], "left").select("row.*", "__attempts")
+        own = found.join(odd, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("own"))
+        rows = docs.select(*row_keys(id_col, text_col), F.struct(*columns).alias("row"))
+        given = rows.join(own, ["k1", "k2"], "left").select("row.*", F.col("own").cast(attempts).alias(attempts_name))
         table = None
     else:
-        given = given.select("*", none)
+        given = docs.select(*columns, F.lit(None).cast(attempts).alias(attempts_name))
         table = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in odd.collect()})
-    plain = given.drop("__attempts")
-    schema = plain.select("*", F.expr("cast(null as array<struct<kind:string,start:int,end:int,surrogate:string>>)").alias("__entities")).schema
-    made = given.mapInArrow(_replace(key, table), schema)
-    return made.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("__entities").alias(entities_col))
+    spans = F.lit(None).cast("array<struct<kind:string,start:int,end:int,surrogate:string>>").alias(entities_name)
+    schema = given.drop(attempts_name).select("*", spans).schema
+    made = given.mapInArrow(_replace(key, table, text_name, attempts_name, entities_name), schema)
+    out = [F.col(text_name).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    return made.select(*out, F.col(entities_name).alias(free_name(names, entities_col)))
 
 
 def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,11 +213,11 @@ def test_op4_replaces_and_keeps_format(spark):
         for e in by[1][2]:
             new.setdefault(e.kind, []).append(e.surrogate)
             old = text[e.start : e.end]
-            assert old != e.surrogate and re.sub(r"\d", "9", old)[:0] == "" and [c.isdigit() for c in old] == [c.isdigit() for c in e.surrogate] or e.kind in ("secret", "givenm", "givenf", "ip")
-        assert op4_surrogates.luhn(new["card"][0][:-1]) == int(new["card"][0][-1]) and new["surname"][0] == new["surname"][1]
-        assert new["givenm"][0] in op4_surrogates.NAMES["m"] and new["givenf"][0] in op4_surrogates.NAMES["f"]
+            assert old != e.surrogate and re.sub(r"\d", "9", old)[:0] == "" and [c.isdigit() for c in old] == [c.isdigit() for c in e.surrogate] or e.kind in ("secret", "given", "family", "name", "ip")
+        assert op4_surrogates.luhn(new["card"][0][:-1]) == int(new["card"][0][-1]) and new["family"][0] == new["family"][1]
+        assert new["given"][0] in op4_surrogates.NAMES["m"] and new["given"][1] in op4_surrogates.NAMES["f"]
         iban = new["iban"][0].replace(" ", "")
-        assert iban[2:4] == op4_surrogates.iban_check(iban[:2], iban[4:]) and re.fullmatch("[А-Яа-я]+", new["surname"][2])
+        assert iban[2:4] == op4_surrogates.iban_check(iban[:2], iban[4:]) and re.fullmatch("[А-Яа-я]+", new["name"][0])
         again = {e.kind: e.surrogate for e in by[2][2]}
         assert again["email"] == new["email"][0].lower() and re.sub(r"\D", "", again["phone"]) == re.sub(r"\D", "", new["phone"][0]) and again["card"].replace(" ", "") == new["card"][0]
     assert op4_surrogates.pseudonymise(table.limit(0)).count() == 0
@@ -243,7 +243,7 @@ def test_op4_collisions(spark):
     assert all(len(v) == 1 for v in made.values())
     new = [x for v in made.values() for x in v]
     assert len(new) == len(set(new)) and not set(new) & set(made)
-    names = spark.createDataFrame([(1, " ".join(f"Mr. {n}" for n in op4_surrogates.NAMES["m"]))], "doc_id long, text string")
+    names = spark.createDataFrame([(1, ". ".join(f"Mr. {n}" for n in op4_surrogates.NAMES["m"]))], "doc_id long, text string")
     found = op4_surrogates.pseudonymise(names).first().entities
     assert len({e.surrogate for e in found}) == len(op4_surrogates.NAMES["m"])
 
