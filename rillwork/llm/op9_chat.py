@@ -4,10 +4,12 @@ Template. A turn is "<turn ROLE>\\n", its text, "</turn>\\n". Texts and roles ar
 control string: "\\" is doubled, "<" becomes "\\l", ">" becomes "\\g"; unescape() takes that back exactly.
 
 Windows. Prefix sums of the turns' tokens choose turn-aligned spans: with W half of what the budget leaves beside the
-system turn, a new span begins where the sum before a turn enters another multiple of W, and around a turn of more
-than W tokens. So a span's tokens stay within the budget, unless one turn alone exceeds it; turns are never cut. Each
-span is a window: the system turn first (a conversation's first turn, if its role is system), then of the span before it
-the last turns that begin within history tokens of the span, then the span. The loss mask covers an assistant's text
+system turn and the history, a new span begins where the sum before a turn enters another multiple of W, and around a turn
+of more than W tokens. Each span is a window: the system turn first (a conversation's first turn, if its role is system),
+then of the span before it the last turns that begin within history tokens of the span, as far as the budget has room for
+them, then the span. So a window's tokens stay within the budget, unless the system turn and one turn exceed it; turns are
+never cut. Tokens are estimated natively: a sign or digit is one, a Chinese, Japanese or Korean sign too, and other letters
+are one for each four or less of a run. The loss mask covers an assistant's text
 in its own span; in repeated history it is masked.
 
 Sums and spans are window functions over a conversation in turn order, which Spark sorts with spilling; a window's text
@@ -43,8 +45,9 @@ def unescape(text: Column) -> Column:
 
 
 def turn_tokens(text: Column) -> Column:
-    """Words and single signs, with a turn's control strings."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]")).cast("long") + TURN_TOKENS
+    """Up to four letters, single East Asian signs, digits and other signs, with a turn's control strings."""
+    piece = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{M}]{1,4}|\p{N}|[^\s\p{L}\p{M}\p{N}]"
+    return F.regexp_count(text, F.lit(piece)).cast("long") + TURN_TOKENS
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -56,7 +59,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
     system = (F.col("n") == 1) & (F.col("role") == "system")
     all_rows = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select("*", F.first(F.when(system, F.struct("turn", "role", "text", "tokens", "n"))).over(own).alias("system"), F.when(system, 0).otherwise(F.col("tokens")).alias("load"))
-    rows = rows.select("*", (F.sum("load").over(all_rows) - F.col("load")).alias("before"), F.greatest(F.lit(1), F.floor((F.lit(budget) - F.coalesce("system.tokens", F.lit(0))) / 2)).alias("w"))
+    rows = rows.select("*", (F.sum("load").over(all_rows) - F.col("load")).alias("before"), F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))) / 2)).alias("w"))
     long = F.col("load") > F.col("w")
     slot = F.floor(F.col("before") / F.col("w"))
     rows = rows.select("*", long.alias("long"), slot.alias("slot"))
@@ -64,9 +67,12 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
     rows = rows.select("*", new.alias("new"))
     rows = rows.select("*", F.sum(F.col("new").cast("long")).over(all_rows).alias("span"))
     by_span = Window.partitionBy("conv_id").orderBy("span")
-    rows = rows.select("*", F.min("before").over(by_span.rangeBetween(1, 1)).alias("next_before"))
+    following = by_span.rangeBetween(1, 1)
+    rows = rows.select("*", F.min("before").over(following).alias("next_before"), F.sum("load").over(following).alias("next_load"))
     # A turn stands in its own span and, as history, before the next one; the system turn stands in all.
-    again = (F.col("next_before") - F.col("before") <= history) & ~((F.col("n") == 1) & F.col("system").isNotNull())
+    repeated = F.col("next_before") - F.col("before")
+    fits = repeated + F.col("next_load") + F.coalesce("system.tokens", F.lit(0)) <= budget
+    again = (repeated <= history) & fits & ~((F.col("n") == 1) & F.col("system").isNotNull())
     placed = rows.select("conv_id", "turn", "role", "text", "tokens", "n", "new", "system", F.explode(F.when(again, F.array(F.struct(F.col("span").alias("window_id"), F.lit(False).alias("repeated")), F.struct((F.col("span") + 1).alias("window_id"), F.lit(True).alias("repeated")))).otherwise(F.array(F.struct(F.col("span").alias("window_id"), F.lit(False).alias("repeated"))))).alias("at"))
     placed = placed.select("conv_id", "turn", "role", "text", "tokens", "n", F.col("system"), "at.window_id", "at.repeated")
     first = (F.row_number().over(Window.partitionBy("conv_id", "window_id").orderBy("n")) == 1) & (F.col("window_id") > 0) & F.col("system").isNotNull()

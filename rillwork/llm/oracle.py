@@ -19,16 +19,16 @@ _ESCAPED = "length(replace(replace(replace({}, '\\', '\\\\'), '<', '\\l'), '>',
 
 OP9 = rf"""WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-a AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]')) + 6 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+a AS (SELECT *, len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}]|[\p{{L}}\p{{M}}]{{1,4}}|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]')) + 6 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
  {_ESCAPED.format("role")} + {_ESCAPED.format("text")} + 16 AS size FROM given),
 b AS (SELECT *, n = 1 AND role = 'system' AS sys, CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE tokens END AS load FROM a),
 c AS (SELECT *, max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id) AS sys_tokens, max(CASE WHEN sys THEN size END) OVER (PARTITION BY conv_id) AS sys_size, sum(load) OVER (PARTITION BY conv_id ORDER BY n) - load AS before FROM b),
-e AS (SELECT *, greatest(1, floor((1024 - coalesce(sys_tokens, 0)) / 2)) AS w FROM c),
+e AS (SELECT *, greatest(1, floor((1024 - 192 - coalesce(sys_tokens, 0)) / 2)) AS w FROM c),
 f AS (SELECT *, load > w AS big, floor(before / w) AS slot FROM e),
 g AS (SELECT *, n > 1 AND (big OR lag(big, 1, FALSE) OVER o OR lag(slot, 1, 0) OVER o <> slot) AS new FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
 h AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY n) AS span FROM g),
-s AS (SELECT conv_id, span - 1 AS span, min(before) AS next_before FROM h GROUP BY conv_id, span),
-p AS (SELECT h.*, NOT sys AND s.next_before - before <= 192 AS again FROM h LEFT JOIN s ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.span = s.span)
+s AS (SELECT conv_id, span - 1 AS span, min(before) AS next_before, sum(load) AS next_load FROM h GROUP BY conv_id, span),
+p AS (SELECT h.*, NOT sys AND s.next_before - before <= 192 AND s.next_before - before + s.next_load + coalesce(sys_tokens, 0) <= 1024 AS again FROM h LEFT JOIN s ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.span = s.span)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) + coalesce(sum(size) FILTER (again), 0) + max(span) * coalesce(max(sys_size), 0) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
 

@@ -221,6 +221,17 @@ def test_op9(spark):
     assert op9_chat.digests(op9_chat.windows(table.limit(0))).count() == 0
 
 
+def test_op9_budget_with_history(spark):
+    """No window goes beyond the budget unless one turn does, with what is repeated and in long runs without spaces."""
+    loads = [160, 160, 150, 170, 380, 512, 30, 30, 30, 400, 90, 700, 100, 20]
+    rows = [(1, k, "assistant" if k % 2 else "user", "w " * (n - 6)) for k, n in enumerate(loads)]
+    rows += [(2, 0, "system", "s " * 200)] + [(2, k + 1, "user", "w " * (n - 6)) for k, n in enumerate(loads)]
+    rows += [(3, k, "user", "日本語" * 100) for k in range(8)] + [(4, k, "user", "x" * 900) for k in range(8)]
+    out = op9_chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all(w.n_tokens <= 1024 for w in out) and any(p.repeated for w in out if w.conv_id == 1 for p in w.parts)
+    assert sum(w.conv_id == 3 for w in out) > 2 and sum(w.conv_id == 4 for w in out) > 2
+
+
 def test_op9_query_is_native(spark):
     plan = op9_chat.op9_chat_windows(spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
