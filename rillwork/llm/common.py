@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,11 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is made; it goes when the driver ends.
+    Only in a local session that names none (tests) a temporary folder is made; it goes when the driver ends. On a cluster
+    that is an error, as other executors couldn't read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="rillwork-")
         atexit.register(shutil.rmtree, _OWN["dir"], True)

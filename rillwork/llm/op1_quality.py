@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, row_keys, text_bytes
+from .common import free_name, materialise, read, row_keys, sliced, text_bytes
 
 MIN_DOCS = 10
 MAX_SHARE = 0.10
@@ -93,7 +93,7 @@ def features(text: bytes) -> tuple:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["sig", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     line_type = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
-    for b in batches:
+    for b in sliced(batches):
         rows = [features(t) for t in b.column("text").to_pylist()]
         cols = list(zip(*rows)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "host", "k1", "k2")), *(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], line_type)], names=["doc_id", "host", "k1", "k2", *names, "lines"])
@@ -111,7 +111,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = lines.select("host", "h", "sig").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     hosts = feats.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     frequent = counts.join(hosts, "host").filter((F.col("n") > F.col("n_host") * max_share) | (F.col("n") > many_docs))
-    salted = frequent.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # Written, so that adaptive execution can split the join below where 16 salts are too few for a line.
+    salted = materialise(frequent.select("host", "h")).select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = lines.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
     gone = hits.groupBy("row").agg(F.sum("w").alias("gone"), F.collect_list("h").alias("removed"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -119,26 +120,30 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return feats.drop("lines", "sig").join(gone, "row", "left").select("doc_id", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (left >= F.col("n_words") * least_left)).alias("kept"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed_words"), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = b.schema.get_field_index("__text")
-        out = []
-        for text, removed in zip(b.column("__text").to_pylist(), b.column("__removed").to_pylist()):
-            if removed and text is not None:
-                gone = set(removed)
-                text = "\n".join(x for x in text.split("\n") if line_hash(normal_line(x.encode())) not in gone)
-            out.append(text)
-        yield b.set_column(at, pa.field("__text", pa.string()), pa.array(out, pa.string())).drop_columns(["__removed"])
+def _strip(text_name: str, removed_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            at = b.schema.get_field_index(text_name)
+            out = []
+            for text, removed in zip(b.column(text_name).to_pylist(), b.column(removed_name).to_pylist()):
+                if removed and text is not None:
+                    gone = set(removed)
+                    text = "\n".join(x for x in text.split("\n") if line_hash(normal_line(x.encode())) not in gone)
+                out.append(text)
+            yield b.set_column(at, pa.field(text_name, pa.string()), pa.array(out, pa.string())).drop_columns([removed_name])
+
+    return run
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that stay, with all of their columns, their text without the removed lines."""
     kept = line_verdicts(docs, id_col, text_col, host_col, **limits).filter("kept").groupBy("k1", "k2").agg(F.first("removed").alias("removed"))
-    own = [F.col(f"row.`{c}`").alias("__text") if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    text_name, removed_name = free_name(docs.columns, "text__"), free_name(docs.columns, "removed__")
+    own = [F.col(f"row.`{c}`").alias(text_name if c == text_col else c) for c in docs.columns]
     joined = docs.select(*row_keys(id_col, text_col, host_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(kept, ["k1", "k2"])
-    given = joined.select(*own, F.col("removed").alias("__removed"))
-    schema = type(given.schema)([f for f in given.schema.fields if f.name != "__removed"])
-    return given.mapInArrow(_strip, schema).select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    given = joined.select(*own, F.col("removed").alias(removed_name))
+    out = given.mapInArrow(_strip(text_name, removed_name), given.drop(removed_name).schema)
+    return out.select(*[F.col(text_name).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, row_keys, text_bytes
+from .common import free_name, materialise, read, row_keys, sliced, text_bytes
 
 WINDOW = 10
 PART_WINDOWS = 200_000
@@ -62,7 +62,7 @@ def rarity(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> d
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = dict.fromkeys(known.value, 0)
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column("text").to_pylist():
                 for w in known.value.intersection(words_of(t)):
                     found[w] += 1
@@ -113,7 +113,7 @@ SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 def _hits(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             counts, spans, found = [], [], []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
@@ -146,17 +146,20 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_windows: int = PART_WINDOWS) -> DataFrame:
     """The documents without any occurring window, as they are."""
 
+    text_name = free_name(docs.columns, "text__")
+
     def keep(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([next(occurrences(words_of((t or "").encode()), index.value), None) is None for t in b.column("__text").to_pylist()], pa.bool_())).drop_columns(["__text"])
+            for b in sliced(batches):
+                clean_ = [next(occurrences(words_of((t or "").encode()), index.value), None) is None for t in b.column(text_name).to_pylist()]
+                yield b.filter(pa.array(clean_, pa.bool_())).drop_columns([text_name])
 
         return run
 
     out = docs
     for p in item_windows(bench, item_col, item_text_col, part_windows):
         index = docs.sparkSession.sparkContext.broadcast(prefix_index(p, docs, text_col))
-        out = out.withColumn("__text", F.col(text_col)).mapInArrow(keep(index), docs.schema)
+        out = out.withColumn(text_name, F.col(f"`{text_col}`").cast("string")).mapInArrow(keep(index), docs.schema)
     return out
 
 

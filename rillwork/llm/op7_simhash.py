@@ -8,8 +8,9 @@ the radius. One tree over all fingerprints, or a broadcast of all shard trees, w
 search pass over a good part of it, as distances of unrelated fingerprints all lie near 32. So the shards follow the
 pigeonhole rule instead: two fingerprints that differ in two bits agree in two of their four 16-bit blocks, and each of
 the six pairs of blocks with its 32 bits names a shard; a fingerprint is sought in its own six shards only, which loses
-no link. A shard beyond tree_max fingerprints is dealt to several trees, each built in one task, and each of its
-fingerprints is sought in all of them: memory stays bounded, however hot a shard is.
+no link. A shard beyond tree_max fingerprints is split by the same rule over its other bits; what is still larger is dealt
+to several trees, each built in one task, and each of its fingerprints is sought in all of them: memory stays bounded,
+however hot a shard is, and so does the number of trees.
 
 Copies meet in a map-side combined aggregation and are one fingerprint afterwards. A task returns only the links that
 join groups it hasn't joined yet. The groups come from components().
@@ -121,9 +122,9 @@ def _tree_links(radius: int):
         for b in batches:
             a: list[int] = []
             c: list[int] = []
-            for key, target, own, fp in zip(*(b.column(x).to_pylist() for x in ("key", "target", "own", "fp"))):
-                if (key, target) != shard:
-                    shard, tree, groups = (key, target), BKTree(), Groups()
+            for key, sub, target, own, fp in zip(*(b.column(x).to_pylist() for x in ("key", "sub", "target", "own", "fp"))):
+                if (key, sub, target) != shard:
+                    shard, tree, groups = (key, sub, target), BKTree(), Groups()
                 met = set()
                 for other in tree.within(fp & mask, radius):
                     root = groups.root(other)
@@ -138,41 +139,62 @@ def _tree_links(radius: int):
     return run
 
 
+PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+#: Bits of the three parts of the other two blocks, by which hot shards are split.
+PARTS = ((0, 11), (11, 11), (22, 10))
+
+
 def shard_keys(fp: str = "fp"):
-    """The six pairs of 16-bit blocks, each as the pair's number and its 32 bits."""
+    """The six pairs of 16-bit blocks, each as the pair's number and its 32 bits (key), and the other two blocks' bits (rest)."""
     block = [F.shiftrightunsigned(F.col(fp), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for n, (i, j) in enumerate(pairs)])
+    both = lambda i, j: F.shiftleft(block[i], 16).bitwiseOR(block[j])
+    others = [tuple(k for k in range(4) if k not in p) for p in PAIRS]
+    return F.array(*[F.struct(F.lit(n << 32).bitwiseOR(both(*p)).alias("key"), both(*o).alias("rest")) for n, (p, o) in enumerate(zip(PAIRS, others))])
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tree_max: int = TREE_MAX) -> DataFrame:
-    """distinct: fp, each once. Links (a, b) that connect the same fingerprints as all pairs within the radius do, which is at most two."""
+    """distinct: fp, each once. Links (a, b) that connect the same fingerprints as all pairs within the radius do, which is at most two.
+
+    In a shard of more than tree_max fingerprints the pigeonhole rule holds again: of three parts of the other two blocks
+    one at least agrees, so it becomes three times as many shards of 10 or 11 bits more, each of 2^22 fingerprints at most."""
     if radius > 2:
         raise ValueError("four blocks, of which two agree, hold for a radius of two at most")
-    keyed = distinct.select("fp", F.explode(shard_keys()).alias("key"))
-    shards = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / tree_max).cast("int").alias("trees"))
-    rows = keyed.join(shards, "key").select("fp", "key", "trees", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("target"))
-    rows = rows.select("key", "target", (F.pmod(F.xxhash64("fp"), F.col("trees")) == F.col("target")).alias("own"), "fp")
-    dealt = rows.repartition("key", "target").sortWithinPartitions("key", "target", F.desc("own"), "fp")
+    keyed = distinct.select("fp", F.inline(shard_keys()))
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = keyed.join(sizes, "key")
+    part = [F.lit(i << 11).bitwiseOR(F.shiftright("rest", at).bitwiseAND(F.lit((1 << n) - 1))) for i, (at, n) in enumerate(PARTS)]
+    subs = F.when(F.col("n") > tree_max, F.array(*part)).otherwise(F.array(F.lit(-1).cast("long")))
+    rows = rows.select("fp", "key", F.explode(subs).alias("sub"))
+    trees = F.ceil(F.col("m") / tree_max).cast("int").alias("trees")
+    hot = sizes.filter(F.col("n") > tree_max).select("key")
+    parts = materialise(rows.filter("sub >= 0").groupBy("key", "sub").agg(F.count("*").alias("m"))) if not hot.isEmpty() else None
+    whole = rows.filter("sub < 0").select("fp", "key", "sub", F.lit(1).alias("trees"))
+    if parts is not None:
+        whole = whole.union(rows.filter("sub >= 0").join(parts.filter("m > 1"), ["key", "sub"]).select("fp", "key", "sub", trees))
+    rows = whole.select("fp", "key", "sub", "trees", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("target"))
+    rows = rows.select("key", "sub", "target", (F.pmod(F.xxhash64("fp"), F.col("trees")) == F.col("target")).alias("own"), "fp")
+    dealt = rows.repartition("key", "sub", "target").sortWithinPartitions("key", "sub", "target", F.desc("own"), "fp")
     return dealt.mapInArrow(_tree_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree_max: int = TREE_MAX) -> DataFrame:
-    """A row for each document: doc_id, k1 and k2 (keys of the row), fp, component_id (the group's least id)."""
+    """A row for each document: doc_id, k1 and k2 (keys of the row), fp, grp (the group's own key, its least fingerprint), component_id (its least id)."""
     fps = materialise(fingerprints(docs, id_col, text_col))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    first = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = materialise(components(links(first.select("fp"), tree_max=tree_max)))
-    least = groups.join(first, groups["node"] == first["fp"]).groupBy("component").agg(F.min("least").alias("group_least"))
-    linked = groups.join(least, "component").select(F.col("node").alias("fp"), "group_least")
+    of = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("grp"))
+    least = of.groupBy("grp").agg(F.min("least").alias("component_id"))
     # Written, so that its size decides the join below, and both of its sides are plain shuffles, which adaptive execution can split where a fingerprint is hot.
-    named = materialise(first.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
+    named = materialise(of.select("fp", "grp").join(least, "grp"))
+    return fps.join(named, "fp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the least id, with all its columns. Of rows that share this id, one stays: that of the least key."""
+    """One document of each group, that of the least id, with all its columns. Groups are told apart by their own keys, so
+    rows of other groups with the same id, or with null ids, stay. Of a group's rows that share the least id, one stays:
+    that of the least key."""
     named = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = named.groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    firsts = named.groupBy("grp").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
     rows = docs.select(*row_keys(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.join(firsts, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
 
