@@ -4,20 +4,36 @@ edges: cell_index, down (NULL at a root), further columns. Each cell has at most
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import written
 
-MAX_ROUNDS = 40
+#: Rounds beyond those that a path through all cells takes.
+SPARE = 2
+
+
+def rounds(rows: DataFrame) -> int:
+    """As many doublings as a path through all rows takes: what goes on beyond them goes round in a circle."""
+    return math.ceil(math.log2(max(2, rows.count()))) + SPARE
+
+
+def circle(n: int) -> RuntimeError:
+    return RuntimeError(f"the graph has a cycle: {n} rows never come to an end")
 
 
 def jump(edges: DataFrame, sums: list[str]) -> DataFrame:
     """Follow each cell down to its root. Returns cell_index, root, steps and each of sums summed over the cell and all below it."""
     now = written(edges.select("cell_index", "down", F.when(F.col("down").isNull(), F.col("cell_index")).otherwise(F.col("down")).alias("root"), F.col("down").isNotNull().cast("long").alias("steps"), *sums))
-    for _ in range(MAX_ROUNDS):
-        if now.filter("down is not null").isEmpty():
+    last = rounds(now)
+    for k in range(last + 1):
+        live = now.filter("down is not null").count()
+        if not live:
             break
+        if k == last:
+            raise circle(live)
         below = now.select(F.col("cell_index").alias("down"), F.col("down").alias("d2"), F.col("root").alias("r2"), F.col("steps").alias("s2"), *[F.col(s).alias(f"{s}2") for s in sums])
         moved = now.filter("down is not null").join(below, "down").select("cell_index", F.col("d2").alias("down"), F.col("r2").alias("root"), (F.col("steps") + F.col("s2")).alias("steps"), *[(F.col(s) + F.col(f"{s}2")).alias(s) for s in sums])
         now = written(moved.unionByName(now.filter("down is null")))
@@ -31,10 +47,13 @@ def tree(edges: DataFrame, sums: list[str], longest: str | None = None) -> DataF
     extra = [F.lit(0.0).alias("__max"), F.col(longest).alias("__len")] if longest else []
     names = [*sums, *(["__max", "__len"] if longest else [])]
     now = written(edges.select("cell_index", "down", *sums, *extra))
-    for _ in range(MAX_ROUNDS):
+    last = rounds(now)
+    for k in range(last + 1):
         live = now.filter("down is not null")
         if live.isEmpty():
             break
+        if k == last:
+            raise circle(live.count())
         most = [F.max(F.col("__max") + F.col("__len")).alias("__above")] if longest else []
         above = live.groupBy(F.col("down").alias("cell_index")).agg(*[F.sum(s).alias(f"{s}_a") for s in sums], *most)
         top = [F.greatest("__max", F.coalesce("__above", F.lit(0.0))).alias("__max"), F.col("__len")] if longest else []
@@ -52,28 +71,58 @@ def until(edges: DataFrame, stop: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, node: str, down: str) -> DataFrame:
-    """All (node, below, rank) of a reach network, rank 1 being the reach that receives the node. Doubling: pairs of rank up to 2^k join those of rank 2^k."""
-    one = edges.filter(F.col(down) > 0).select(F.col(node).alias("node"), F.col(down).alias("below"), F.lit(1).cast("long").alias("rank"))
-    pairs, reach = written(one), 1
-    for _ in range(MAX_ROUNDS):
+    """All (node, below, rank) of a reach network, rank 1 being the reach that receives the node, and the terminal 0 at the
+    end of every way that leaves the basin. Doubling: pairs of rank up to 2^k join those of rank 2^k."""
+    one = edges.filter(F.col(down) >= 0).select(F.col(node).alias("node"), F.col(down).alias("below"), F.lit(1).cast("long").alias("rank"))
+    pairs, reach, last = written(one), 1, 2 ** rounds(one)
+    while True:
         far = pairs.filter(F.col("rank") == reach)
         if far.isEmpty():
-            break
+            return pairs
+        if reach >= last:
+            raise circle(far.count())
         more = far.select("node", F.col("below").alias("mid"), F.col("rank").alias("r1")).join(pairs.select(F.col("node").alias("mid"), F.col("below").alias("b2"), F.col("rank").alias("r2")), "mid").select("node", F.col("b2").alias("below"), (F.col("r1") + F.col("r2")).alias("rank"))
         pairs, reach = written(pairs.unionByName(more)), reach * 2
-    return pairs
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: a, b. cell_index and region (the least node that links reach) of every node of a link. Each round takes the
+    least label of a node's neighbours and then the label of that label, so labels travel in jumps; rounds are written."""
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        seen = both.join(now.select(F.col("a").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
+        least = now.join(seen, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = now.select(F.col("a").alias("label"), F.col("label").alias("top"))
+        then = written(least.join(up, "label").select("a", "old", F.least("label", "top").alias("label")))
+        if then.filter("old <> label").isEmpty():
+            return then.select(F.col("a").alias("cell_index"), F.col("label").alias("region"))
+        now = then.select("a", "label")
 
 
 def strahler(edges: DataFrame) -> DataFrame:
-    """Strahler orders by peeling levels: a node is settled once all nodes above it are. The number of rounds is the network's depth, so peel reaches, not cells."""
-    parents = edges.groupBy(F.col("down").alias("cell_index")).agg(F.count("*").alias("need")).filter("cell_index is not null")
-    state = written(edges.select("cell_index", "down").join(parents, "cell_index", "left").select("cell_index", "down", F.coalesce("need", F.lit(0)).alias("need")))
-    done = written(state.filter("need = 0").select("cell_index", "down", F.lit(1).alias("order")))
-    last = done
-    while not last.isEmpty():
-        above = done.filter("down is not null").groupBy(F.col("down").alias("cell_index")).agg(F.count("*").alias("have"), F.max("order").alias("top"))
-        tops = done.filter("down is not null").join(above.select(F.col("cell_index").alias("down"), "top"), "down").filter("order = top").groupBy(F.col("down").alias("cell_index")).agg(F.count("*").alias("n_top"))
-        ready = state.join(above, "cell_index").filter("have = need").join(tops, "cell_index").join(done.select("cell_index"), "cell_index", "left_anti")
-        last = written(ready.select("cell_index", "down", (F.col("top") + (F.col("n_top") >= 2).cast("int")).alias("order")))
-        done = written(done.unionByName(last))
-    return done.select("cell_index", "order")
+    """Strahler orders by peeling levels: a node is settled once all nodes above it are. A round takes only the parents of the
+    last level's nodes: it adds to their counts of settled children, their top order and how many children have it. The
+    number of rounds is the network's depth, so peel reaches, not cells."""
+    need = edges.groupBy(F.col("down").alias("cell_index")).agg(F.count("*").alias("need")).filter("cell_index is not null")
+    state = written(edges.select("cell_index", "down").join(need, "cell_index", "left").select("cell_index", "down", F.coalesce("need", F.lit(0)).alias("need")))
+    total, settled = state.count(), []
+    last = written(state.filter("need = 0").select("cell_index", "down", F.lit(1).alias("order")))
+    open_ = written(state.filter("need > 0").select("cell_index", "down", "need", F.lit(0).alias("top"), F.lit(0).cast("long").alias("n_top")))
+    while n := last.count():
+        settled.append(last)
+        total -= n
+        came = last.filter("down is not null").groupBy(F.col("down").alias("cell_index"), "order").agg(F.count("*").alias("m"))
+        best = came.groupBy("cell_index").agg(F.max(F.struct("order", "m")).alias("b"), F.sum("m").alias("came"))
+        top = F.greatest("top", F.coalesce("b.order", F.lit(0)))
+        n_top = F.when(F.col("top") == top, F.col("n_top")).otherwise(0) + F.when(F.col("b.order") == top, F.col("b.m")).otherwise(0)
+        now = open_.join(best, "cell_index", "left").select("cell_index", "down", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), top.alias("top"), n_top.alias("n_top"))
+        now = written(now)
+        last = now.filter("need = 0").select("cell_index", "down", (F.col("top") + (F.col("n_top") >= 2).cast("int")).alias("order"))
+        open_ = now.filter("need > 0")
+    if total:
+        raise circle(total)
+    out = settled[0] if settled else last
+    for df in settled[1:]:
+        out = out.unionByName(df)
+    return out.select("cell_index", "order")

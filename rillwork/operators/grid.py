@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import written
+
 #: k = 0..7 from north-east clockwise: code 2^k, column step, row step; even k are diagonals. Fixed values.
 STEPS = [(0, 1, -1), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, -1, 1), (5, -1, 0), (6, -1, -1), (7, 0, -1)]
 
 
+def running_total(df: DataFrame, value: str, *order: str, name: str = "before") -> DataFrame:
+    """The sum of value over all rows before each in the order, which has to be unique. Rows are dealt by ranges and written,
+    so each task sums its own range; only one row for each range meets in one window. No key or value is a hot one."""
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    offsets = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__offset"))
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order)) - F.col(value)
+    return dealt.withColumn(name, own).join(F.broadcast(offsets), "__part").withColumn(name, F.col(name) + F.col("__offset")).drop("__part", "__offset")
+
+
+def rank_rows(df: DataFrame, *order: str, name: str = "row_id", start: int = 1) -> DataFrame:
+    """Row numbers in an order that has to be unique, whatever the distribution of its values."""
+    one = running_total(df.withColumn("__one", F.lit(1).cast("long")), "__one", *order, name=name)
+    return one.withColumn(name, (F.col(name) + start).cast("long")).drop("__one")
+
+
 def number_rows(df: DataFrame, group: str, *order: str, name: str = "row_id", start: int = 1) -> DataFrame:
-    """Row numbers by group, then order, without a window over all rows: numbers within groups, plus the groups' offsets."""
+    """Row numbers by group, then order, without a window over all rows: numbers within groups, plus the groups' offsets, which are running totals over the groups' sizes."""
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    offsets = sizes.select(group, (F.sum("__n").over(Window.orderBy(group)) - F.col("__n")).alias("__before"))
+    offsets = running_total(sizes, "__n", group, name="__before").select(group, "__before")
     own = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.join(offsets, group).withColumn(name, (own + F.col("__before") + (start - 1)).cast("long")).drop("__before")
 
@@ -28,18 +46,29 @@ def step_table(res_x: float, res_y: float) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(diagonal if k % 2 == 0 else res_x if dy == 0 else res_y).alias("dist")) for k, dx, dy in STEPS])
 
 
-def neighbours(cells: DataFrame, values: list[str], res: float) -> DataFrame:
-    """A row for each cell and valid neighbour: r, c, k, dist, the cell's values and the neighbour's as n_*. An equi-join on (r, c)."""
-    left = cells.select("r", "c", *values, F.explode(step_table(res, res)).alias("s")).select("r", "c", *values, "s.k", "s.dist", (F.col("r") + F.col("s.dy")).alias("nr"), (F.col("c") + F.col("s.dx")).alias("nc"))
-    right = cells.select(F.col("r").alias("nr"), F.col("c").alias("nc"), *[F.col(v).alias(f"n_{v}") for v in values])
-    return left.join(right, ["nr", "nc"])
+def neighbour_values(cells: DataFrame, value: str, also: str | None = None) -> DataFrame:
+    """The cells with their eight neighbours' values as n0 to n7 (NULL where there is none), and those of also as i0 to i7.
+
+    Each cell is dealt to its own row and the two beside it, and the columns beside it are a window's range: one shuffle of
+    three narrow rows for each cell, instead of a join of eight."""
+    own = [c for c in cells.columns if c not in ("r", "c")]
+    rows = cells.select("r", "c", *own, F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("__d"))
+    rows = rows.withColumn("__row", F.col("r") + F.col("__d"))
+    line = Window.partitionBy("__row").orderBy("c")
+    # A cell that stands in row r - d is seen from row r in the direction -d.
+    at = lambda v, dx, dy: F.max(F.when(F.col("__d") == -dy, F.col(v))).over(line.rangeBetween(dx, dx))
+    found = [at(value, dx, dy).alias(f"n{k}") for k, dx, dy in STEPS]
+    found += [at(also, dx, dy).alias(f"i{k}") for k, dx, dy in STEPS] if also else []
+    return rows.select("r", "c", *own, "__d", *found).filter("__d = 0").drop("__d")
 
 
 def d8_pointer(cells: DataFrame, res: float) -> DataFrame:
-    """r, c, code (2^k of the steepest descent, ties to the least k; 0 without one) and k. One stencil join, one aggregation."""
-    drops = neighbours(cells.select("r", "c", "dem"), ["dem"], res).withColumn("drop", (F.col("dem") - F.col("n_dem")) / F.col("dist")).filter("drop > 0")
-    best = drops.groupBy("r", "c").agg(F.max(F.struct("drop", (-F.col("k")).alias("mk"))).alias("b")).select("r", "c", (-F.col("b.mk")).alias("k"))
-    return cells.select("r", "c", "cell_index").join(best, ["r", "c"], "left").select("r", "c", "cell_index", "k", F.when(F.col("k").isNotNull(), F.pow(F.lit(2.0), F.col("k")).cast("int")).otherwise(0).alias("code"))
+    """r, c, code (2^k of the steepest descent, ties to the least k; 0 without one) and k."""
+    wide = neighbour_values(cells.select("r", "c", "cell_index", "dem"), "dem")
+    diagonal = (2 * res * res) ** 0.5
+    drops = [F.when(F.col("dem") > F.col(f"n{k}"), F.struct(((F.col("dem") - F.col(f"n{k}")) / F.lit(diagonal if k % 2 == 0 else res)).alias("drop"), F.lit(-k).alias("m"))) for k, _, _ in STEPS]
+    k = -F.greatest(*drops)["m"]
+    return wide.select("r", "c", "cell_index", k.alias("k")).withColumn("code", F.coalesce(F.expr("shiftleft(1, k)"), F.lit(0)))
 
 
 def flow_edges(cells: DataFrame, res: float, cols: int) -> DataFrame:
@@ -51,5 +80,6 @@ def flow_edges(cells: DataFrame, res: float, cols: int) -> DataFrame:
 
 def border_cells(cells: DataFrame, zone: str) -> DataFrame:
     """Cells of a zone with fewer than eight neighbours in it."""
-    same = neighbours(cells.select("r", "c", zone), [zone], 1.0).filter(F.col(zone) == F.col(f"n_{zone}")).groupBy("r", "c").agg(F.count("*").alias("n")).filter("n = 8")
-    return cells.select("r", "c", zone).join(same, ["r", "c"], "left_anti")
+    wide = neighbour_values(cells.select("r", "c", zone), zone)
+    same = [F.coalesce((F.col(f"n{k}") == F.col(zone)).cast("int"), F.lit(0)) for k, _, _ in STEPS]
+    return wide.filter(sum(same[1:], same[0]) < 8).select("r", "c", zone)

@@ -34,17 +34,16 @@ def flow_path(spark, sf_dir):
 
 @query("SELECT cell_index, row_number() OVER (ORDER BY acc, cell_index) - 1 AS flow_order FROM cells", CELLS)
 def flow_order(spark, sf_dir):
-    """Ranks by accumulation: numbers within blocks of it, plus the blocks' offsets."""
-    c = cells(spark, sf_dir).withColumn("block", F.floor(F.col("acc") / 64))
-    return grid.number_rows(c, "block", "acc", "cell_index", name="flow_order", start=0).select("cell_index", "flow_order")
+    """Ranks by accumulation, in ranges of equal size, as most cells have little of it."""
+    return grid.rank_rows(cells(spark, sf_dir).select("acc", "cell_index"), "acc", "cell_index", name="flow_order", start=0).select("cell_index", "flow_order")
 
 
 @query("SELECT cell_index, dense AS new_id FROM cells JOIN (SELECT field, row_number() OVER (ORDER BY min(cell_index)) AS dense FROM cells GROUP BY field) USING (field)", CELLS)
 def dense_reorder(spark, sf_dir):
     """Zone ids from 1 in the order in which a row-major scan meets them."""
     c = cells(spark, sf_dir)
-    ids = c.groupBy("field").agg(F.min("cell_index").alias("first")).withColumn("block", F.floor(F.col("first") / 1024))
-    return c.join(grid.number_rows(ids, "block", "first", name="new_id"), "field").select("cell_index", "new_id")
+    ids = c.groupBy("field").agg(F.min("cell_index").alias("first"))
+    return c.join(grid.rank_rows(ids, "first", name="new_id").select("field", "new_id"), "field").select("cell_index", "new_id")
 
 
 @query("SELECT r, c, row_number() OVER (ORDER BY r, c) - 1 AS valid_index FROM cells WHERE soil <> 'P'", CELLS)
@@ -153,16 +152,16 @@ def repair_subbasin(spark, sf_dir):
     return c.join(first, "field", "left").select("cell_index", F.coalesce("own", "first_sub").alias("subbasin"))
 
 
-BELOW = "below AS (SELECT reach AS node, receive AS below, 1 AS rank FROM reaches WHERE receive > 0 UNION ALL SELECT b.node, r.receive, b.rank + 1 FROM below b JOIN reaches r ON b.below = r.reach WHERE r.receive > 0)"
+BELOW = "below AS (SELECT reach AS node, receive AS below, 1 AS rank FROM reaches UNION ALL SELECT b.node, r.receive, b.rank + 1 FROM below b JOIN reaches r ON b.below = r.reach)"
 
 
 @query("SELECT node, below, CAST(rank AS BIGINT) AS rank FROM below", REACHES, BELOW)
 def reach_lookup(spark, sf_dir):
-    """All reaches downstream of each, with their rank."""
+    """All reaches downstream of each with their rank, and the terminal 0."""
     return flow.closure(reaches(spark, sf_dir), "reach", "receive")
 
 
-@query("SELECT r.reach, coalesce(max(b.rank), 0) + 1 AS to_outlet FROM reaches r LEFT JOIN below b ON r.reach = b.node GROUP BY r.reach", REACHES, BELOW)
+@query("SELECT r.reach, coalesce(max(b.rank), 0) + 1 AS to_outlet FROM reaches r LEFT JOIN below b ON r.reach = b.node AND b.below > 0 GROUP BY r.reach", REACHES, BELOW)
 def network_levels(spark, sf_dir):
     r = reaches(spark, sf_dir)
     e = r.select(F.col("reach").alias("cell_index"), F.when(F.col("receive") > 0, F.col("receive")).alias("down"))
@@ -216,7 +215,15 @@ def wascob_chain(spark, sf_dir):
     return d.join(o, d["drain"] == o["o"], "left").join(c, "o", "left").select("wascob", "drain", "outlet", "field")
 
 
-@query()
+@query(
+    """SELECT reach, o AS stream_order FROM (SELECT reach, max(CAST(o AS INTEGER)) AS o FROM up GROUP BY reach)""",
+    REACHES,
+    """leaf AS (SELECT reach FROM reaches WHERE reach NOT IN (SELECT receive FROM reaches)),
+ up(reach, o) USING KEY (reach) AS (SELECT reach, 1 FROM leaf UNION
+ SELECT receive, max(o) + CASE WHEN count(*) FILTER (o = m) >= 2 THEN 1 ELSE 0 END FROM (SELECT p.receive, u.o, max(u.o) OVER (PARTITION BY p.receive) AS m,
+ count(*) OVER (PARTITION BY p.receive) AS have, (SELECT count(*) FROM reaches q WHERE q.receive = p.receive) AS need
+ FROM recurring.up u JOIN reaches p ON u.reach = p.reach WHERE p.receive > 0) WHERE have = need AND receive NOT IN (SELECT reach FROM recurring.up) GROUP BY receive)""",
+)
 def strahler_order(spark, sf_dir):
     """Peeled level by level over the reach network."""
     r = reaches(spark, sf_dir)
