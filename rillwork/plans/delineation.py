@@ -149,15 +149,14 @@ def reach_manning(spark, sf_dir):
 
 
 @query(
-    "SELECT cell_index, region FROM (SELECT cell_index, min(region) AS region FROM lab GROUP BY cell_index)",
+    "SELECT a AS cell_index, min(b) AS region FROM joined GROUP BY a",
     *GRID[:2],
-    """side AS (SELECT a.cell_index AS a, b.cell_index AS b FROM cells a, steps s, cells b WHERE b.r = a.r + s.dy AND b.c = a.c + s.dx AND a.soil = b.soil AND a.soil = 'P'),
- lab(cell_index, region) USING KEY (cell_index) AS (SELECT cell_index, cell_index FROM cells WHERE soil = 'P' UNION
- SELECT s.a, min(l.region) FROM recurring.lab l JOIN side s ON s.b = l.cell_index JOIN recurring.lab o ON o.cell_index = s.a WHERE l.region < o.region GROUP BY s.a)""",
+    "side AS (SELECT a.cell_index AS a, b.cell_index AS b FROM cells a, steps s, cells b WHERE b.r = a.r + s.dy AND b.c = a.c + s.dx AND a.texture = b.texture)",
+    "joined AS (SELECT cell_index AS a, cell_index AS b FROM cells UNION SELECT j.a, s.b FROM joined j JOIN side s ON j.b = s.a)",
 )
 def raster_regions(spark, sf_dir):
-    """Polygons of a raster: the connected cells of one soil."""
-    return delineation.regions(cells(spark, sf_dir).filter("soil = 'P'"), "soil")
+    """Polygons of a raster: the connected cells of one value."""
+    return delineation.regions(cells(spark, sf_dir), "texture")
 
 
 @query("SELECT row_number() OVER (ORDER BY r, c) AS fid, landuse AS value, (c + 0.5) * 10.0 AS x, (r + 0.5) * 10.0 AS y FROM cells WHERE landuse = 1", CELLS)
