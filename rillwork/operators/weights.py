@@ -1,18 +1,50 @@
-"""Station weights of cells. Stations are a small dimension; each cell's rows meet in one window or aggregation."""
+"""Station weights of cells. A cell meets the stations of the squares around it; its rows meet in one window or aggregation."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import written
+
 SCALE = 10_000
 
 
-def distances(cells: DataFrame, stations: DataFrame, radius: float | None = None) -> DataFrame:
-    """cell_index, idx, dx, dy, d2 of every station (within the radius, if given) of every cell. Spark broadcasts the stations if their size allows, else shuffles."""
-    joined = cells.select("cell_index", "r", "c").join(stations, F.lit(True)).select("cell_index", "idx", (F.col("sx") - F.col("c")).alias("dx"), (F.col("sy") - F.col("r")).alias("dy"))
-    out = joined.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return out.filter(F.col("d2") < radius * radius) if radius else out
+def distances(cells: DataFrame, stations: DataFrame, radius: float) -> DataFrame:
+    """cell_index, idx, dx, dy, d2 of every station nearer than the radius. Stations are dealt to their own square of that
+    size and the eight around it, so it is an equi-join on squares, whatever the number of cells or stations."""
+    square = lambda v: F.floor(F.col(v) / radius)
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    right = stations.select("idx", "sx", "sy", around.alias("s")).select("idx", "sx", "sy", (square("sy") + F.col("s.i")).alias("br"), (square("sx") + F.col("s.j")).alias("bc"))
+    left = cells.select("cell_index", "r", "c", square("r").alias("br"), square("c").alias("bc"))
+    near = left.join(right, ["br", "bc"]).select("cell_index", "idx", (F.col("sx") - F.col("c")).alias("dx"), (F.col("sy") - F.col("r")).alias("dy"))
+    return near.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).filter(F.col("d2") < radius * radius)
+
+
+def nearest(cells: DataFrame, stations: DataFrame, k: int, radius: float) -> DataFrame:
+    """Rows as of distances(), with the k nearest stations of every cell among them: cells that have fewer within the radius
+    are sought again in twice the radius, until it spans all cells and stations."""
+    own = cells.select("cell_index", "r", "c")
+    ends = own.agg(F.max("r"), F.max("c"), F.min("r"), F.min("c")).first()
+    far = stations.agg(F.max("sy"), F.max("sx"), F.min("sy"), F.min("sx"), F.count("*")).first()
+    if ends[0] is None or not far[4]:
+        return distances(own, stations, radius)
+    span = 2 + sum(max(ends[i], far[i]) - min(ends[i + 2], far[i + 2]) for i in (0, 1))
+    parts, left = [], own
+    while True:
+        near = written(distances(left, stations, radius))
+        enough = written(near.groupBy("cell_index").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("cell_index"))
+        if radius > span:
+            parts.append(near)
+            break
+        parts.append(near.join(enough, "cell_index", "left_semi"))
+        left = written(left.join(enough, "cell_index", "left_anti"))
+        if left.isEmpty():
+            break
+        radius *= 2
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inverse_distance(near: DataFrame) -> DataFrame:
@@ -38,9 +70,10 @@ def thiessen(near: DataFrame) -> DataFrame:
 
 def uniform(stations: DataFrame) -> DataFrame:
     """Equal weights in units of 1/10000; the last station takes the remainder."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    share = F.floor(F.lit(SCALE) / n)
-    return stations.select("idx", (F.when(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("idx")) == n, SCALE - share * (n - 1)).otherwise(share) / SCALE).alias("weight"))
+    all_ = stations.agg(F.count("*").alias("n"), F.max("idx").alias("last"))  # one row
+    share = F.floor(F.lit(SCALE) / F.col("n"))
+    weight = F.when(F.col("idx") == F.col("last"), SCALE - share * (F.col("n") - 1)).otherwise(share) / SCALE
+    return stations.crossJoin(F.broadcast(all_)).select("idx", weight.alias("weight"))
 
 
 def quadrant(near: DataFrame) -> DataFrame:
@@ -50,7 +83,7 @@ def quadrant(near: DataFrame) -> DataFrame:
     return inverse_distance(best.select("cell_index", "b.idx", "b.d2"))
 
 
-def triangle(cells: DataFrame, near: DataFrame, stations: DataFrame) -> DataFrame:
+def triangle(near: DataFrame) -> DataFrame:
     """Barycentric weights in the triangle of the three nearest stations, from the areas of the parts; cells outside it or in a flat one go to the nearest."""
     rank = F.row_number().over(Window.partitionBy("cell_index").orderBy("d2", "idx"))
     three = near.withColumn("n", rank).filter("n <= 3").groupBy("cell_index").agg(*[F.max(F.when(F.col("n") == k, F.col(v))).alias(f"{v}{k}") for k in (1, 2, 3) for v in ("idx", "dx", "dy")])
@@ -71,3 +104,33 @@ def snap(points: DataFrame, targets: DataFrame, radius: int) -> DataFrame:
     d2 = (F.col("pr") - F.col("r")) * (F.col("pr") - F.col("r")) + (F.col("pc") - F.col("c")) * (F.col("pc") - F.col("c"))
     near = left.join(right, ["br", "bc"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
     return near.groupBy("point_id").agg(F.min(F.struct("d2", "r", "c")).alias("b")).select("point_id", "b.r", "b.c", "b.d2")
+
+
+#: Methods by name: how a method takes the cells' stations (the number of nearest ones, or None for all within the radius) and what it makes of them.
+METHODS = {
+    "inverse_distance": (None, lambda near: quantise(inverse_distance(near))),
+    "thiessen": (1, lambda near: thiessen(near).withColumn("weight", F.lit(1.0))),
+    "linear_triangle": (3, lambda near: quantise(triangle(near))),
+    "grid": (None, lambda near: quantise(quadrant(near))),
+}
+
+
+def weights_by(method: str, cells: DataFrame, stations: DataFrame, radius: float, zone: str | None = None) -> DataFrame:
+    """Weights by a method of METHODS, of cells (cell_index, idx, weight), or as means of the zones of a column (zone, idx, weight)."""
+    k, make = METHODS[method]
+    found = make(nearest(cells, stations, k, radius) if k else distances(cells, stations, radius))
+    if not zone:
+        return found
+    sizes = cells.groupBy(zone).agg(F.count("*").alias("__n"))
+    sums = found.join(cells.select("cell_index", zone), "cell_index").groupBy(zone, "idx").agg(F.sum("weight").alias("s"))
+    return sums.join(sizes, zone).select(zone, "idx", (F.col("s") / F.col("__n")).alias("weight"))
+
+
+def same_stations(used: DataFrame) -> DataFrame:
+    """used: type, idx. type, first (the first type with the same set of stations, whose weights are its own too), n. The sets
+    are compared by their sizes and two sums of hashes, so that no set meets in one row."""
+    rows = used.select("type", "idx").distinct()
+    h = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(38,0)"))
+    sets = rows.groupBy("type").agg(F.count("*").alias("n"), h("idx").alias("a"), h("idx", F.lit(1)).alias("b"))
+    firsts = sets.groupBy("n", "a", "b").agg(F.min("type").alias("first"))
+    return sets.join(firsts, ["n", "a", "b"]).select("type", "first", "n")

@@ -9,15 +9,22 @@ from ..sources.views import CELLS, READINGS, STATIONS, cells, readings, stations
 from ..streaming.readings import windowed_sums
 from .registry import query
 
-NEAR = "near AS (SELECT cell_index, idx, sx - c AS dx, sy - r AS dy, (sx - c) * (sx - c) + (sy - r) * (sy - r) AS d2 FROM cells, stations)"
+NEAR = "allnear AS (SELECT cell_index, idx, sx - c AS dx, sy - r AS dy, (sx - c) * (sx - c) + (sy - r) * (sy - r) AS d2 FROM cells, stations)"
+#: Cells within which a station counts.
+RADIUS = 24.0
+WITHIN = "near AS (SELECT * FROM allnear WHERE d2 < 576)"
 IDW = """idw AS (SELECT cell_index, idx, raw / sum(raw) OVER (PARTITION BY cell_index) AS weight FROM (SELECT *, CASE WHEN min(d2) OVER (PARTITION BY cell_index) = 0 THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d2 END AS raw FROM near))"""
 
 
 def _near(spark, sf_dir):
-    return weights.distances(cells(spark, sf_dir), stations(spark, sf_dir))
+    return weights.distances(cells(spark, sf_dir), stations(spark, sf_dir), RADIUS)
 
 
-@query("SELECT cell_index, idx, round(weight, 6) AS weight FROM idw", CELLS, STATIONS, NEAR, IDW)
+def _nearest(spark, sf_dir, k):
+    return weights.nearest(cells(spark, sf_dir), stations(spark, sf_dir), k, 16.0)
+
+
+@query("SELECT cell_index, idx, round(weight, 6) AS weight FROM idw", CELLS, STATIONS, NEAR, WITHIN, IDW)
 def idw_weights(spark, sf_dir):
     return weights.inverse_distance(_near(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
@@ -25,15 +32,15 @@ def idw_weights(spark, sf_dir):
 @query(
     """SELECT cell_index, idx, round((a + CASE WHEN row_number() OVER (PARTITION BY cell_index ORDER BY f DESC, idx) = 1 THEN 10000 - sum(a) OVER (PARTITION BY cell_index) ELSE 0 END) / 10000.0, 4) AS weight
     FROM (SELECT *, CASE WHEN w - a <= 0.5 THEN round(w - a, 6) ELSE 0 END AS f FROM (SELECT *, floor(w) AS a FROM (SELECT cell_index, idx, round(weight * 10000, 6) AS w FROM idw)))""",
-    CELLS, STATIONS, NEAR, IDW,
+    CELLS, STATIONS, NEAR, WITHIN, IDW,
 )
 def idw_quantised(spark, sf_dir):
     return weights.quantise(weights.inverse_distance(_near(spark, sf_dir))).withColumn("weight", F.round("weight", 4))
 
 
-@query("SELECT cell_index, idx FROM (SELECT *, row_number() OVER (PARTITION BY cell_index ORDER BY d2, idx) AS k FROM near) WHERE k = 1", CELLS, STATIONS, NEAR)
+@query("SELECT cell_index, idx FROM (SELECT *, row_number() OVER (PARTITION BY cell_index ORDER BY d2, idx) AS k FROM allnear) WHERE k = 1", CELLS, STATIONS, NEAR)
 def thiessen(spark, sf_dir):
-    return weights.thiessen(_near(spark, sf_dir))
+    return weights.thiessen(_nearest(spark, sf_dir, 1))
 
 
 @query("SELECT idx, round(CASE WHEN row_number() OVER (ORDER BY idx) = n THEN 10000 - (10000 // n) * (n - 1) ELSE 10000 // n END / 10000.0, 4) AS weight FROM (SELECT idx, count(*) OVER () AS n FROM stations)", STATIONS)
@@ -44,7 +51,7 @@ def uniform_weights(spark, sf_dir):
 @query(
     """SELECT cell_index, idx, round(raw / sum(raw) OVER (PARTITION BY cell_index), 6) AS weight FROM (SELECT *, CASE WHEN min(d2) OVER (PARTITION BY cell_index) = 0 THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d2 END AS raw
     FROM (SELECT *, row_number() OVER (PARTITION BY cell_index, dx >= 0, dy >= 0 ORDER BY d2, idx) AS k FROM near) WHERE k = 1)""",
-    CELLS, STATIONS, NEAR,
+    CELLS, STATIONS, NEAR, WITHIN,
 )
 def quadrant_weights(spark, sf_dir):
     return weights.quadrant(_near(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
@@ -54,15 +61,38 @@ def quadrant_weights(spark, sf_dir):
     """SELECT cell_index, unnest([i1, i2, i3]) AS idx, round(unnest(CASE WHEN whole > 0 AND a1 + a2 + a3 <= whole + 1e-9 THEN [a1 / whole, a2 / whole, a3 / whole] ELSE [1.0, 0.0, 0.0] END), 6) AS weight FROM
     (SELECT cell_index, i1, i2, i3, abs(x2 * y3 - x3 * y2) AS a1, abs(x1 * y3 - x3 * y1) AS a2, abs(x1 * y2 - x2 * y1) AS a3, abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) AS whole FROM
     (SELECT cell_index, max(idx) FILTER (k = 1) AS i1, max(idx) FILTER (k = 2) AS i2, max(idx) FILTER (k = 3) AS i3, max(dx) FILTER (k = 1) AS x1, max(dx) FILTER (k = 2) AS x2, max(dx) FILTER (k = 3) AS x3,
-    max(dy) FILTER (k = 1) AS y1, max(dy) FILTER (k = 2) AS y2, max(dy) FILTER (k = 3) AS y3 FROM (SELECT *, row_number() OVER (PARTITION BY cell_index ORDER BY d2, idx) AS k FROM near) GROUP BY cell_index))""",
+    max(dy) FILTER (k = 1) AS y1, max(dy) FILTER (k = 2) AS y2, max(dy) FILTER (k = 3) AS y3 FROM (SELECT *, row_number() OVER (PARTITION BY cell_index ORDER BY d2, idx) AS k FROM allnear) GROUP BY cell_index))""",
     CELLS, STATIONS, NEAR,
 )
 def triangle_weights(spark, sf_dir):
-    c, s = cells(spark, sf_dir), stations(spark, sf_dir)
-    return weights.triangle(c, weights.distances(c, s), s).withColumn("weight", F.round("weight", 6))
+    return weights.triangle(_nearest(spark, sf_dir, 3)).withColumn("weight", F.round("weight", 6))
+
+
+QUADRANT = """quad AS (SELECT cell_index, idx, raw / sum(raw) OVER (PARTITION BY cell_index) AS weight FROM (SELECT *, CASE WHEN min(d2) OVER (PARTITION BY cell_index) = 0
+ THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d2 END AS raw FROM (SELECT *, row_number() OVER (PARTITION BY cell_index, dx >= 0, dy >= 0 ORDER BY d2, idx) AS k FROM near) WHERE k = 1))"""
+QUANTISED = """SELECT cell_index, idx, round((a + CASE WHEN row_number() OVER (PARTITION BY cell_index ORDER BY f DESC, idx) = 1 THEN 10000 - sum(a) OVER (PARTITION BY cell_index) ELSE 0 END) / 10000.0, 4) AS weight
+ FROM (SELECT *, CASE WHEN w - a <= 0.5 THEN round(w - a, 6) ELSE 0 END AS f FROM (SELECT *, floor(w) AS a FROM (SELECT cell_index, idx, round(weight * 10000, 6) AS w FROM quad)))"""
+
+
+@query(QUANTISED, CELLS, STATIONS, NEAR, WITHIN, QUADRANT)
+def quadrant_quantised(spark, sf_dir):
+    """By the dispatcher of methods."""
+    return weights.weights_by("grid", cells(spark, sf_dir), stations(spark, sf_dir), RADIUS).withColumn("weight", F.round("weight", 4))
+
+
+@query("SELECT subbasin, idx, round(count(*) * 1.0 / any_value(n), 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cell_index ORDER BY d2, idx) AS k FROM allnear) t JOIN cells USING (cell_index) JOIN (SELECT subbasin, count(*) AS n FROM cells GROUP BY subbasin) USING (subbasin) WHERE k = 1 GROUP BY subbasin, idx", CELLS, STATIONS, NEAR)
+def subarea_station_shares(spark, sf_dir):
+    """The dispatcher with subareas as targets."""
+    return weights.weights_by("thiessen", cells(spark, sf_dir), stations(spark, sf_dir), 16.0, "subbasin").withColumn("weight", F.round("weight", 4))
+
+
+@query("SELECT type, min(type) OVER (PARTITION BY s) AS first, len(s) AS n FROM (SELECT type, list_sort(list(DISTINCT station % 5)) AS s FROM readings GROUP BY type)", READINGS)
+def weight_reuse(spark, sf_dir):
+    """Types that are read at the same stations share their weights."""
+    return weights.same_stations(readings(spark, sf_dir).select("type", (F.col("station") % 5).alias("idx")))
 
 
-@query("SELECT subbasin, idx, round(avg(weight), 6) AS weight FROM idw JOIN cells USING (cell_index) GROUP BY subbasin, idx", CELLS, STATIONS, NEAR, IDW)
+@query("SELECT subbasin, idx, round(avg(weight), 6) AS weight FROM idw JOIN cells USING (cell_index) GROUP BY subbasin, idx", CELLS, STATIONS, NEAR, WITHIN, IDW)
 def unit_climate_weight(spark, sf_dir):
     """Weights of subareas in long form: one aggregation instead of a pass for each station."""
     w = weights.inverse_distance(_near(spark, sf_dir))

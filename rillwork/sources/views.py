@@ -44,12 +44,12 @@ REACHES = "reaches AS (SELECT c_custkey AS reach, c_custkey // 2 AS receive, c_n
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """idx, x, y in cells; a fixed, small dimension (five stations)."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 5")
-    return s.select(F.col("s_suppkey").cast("int").alias("idx"), (F.col("s_suppkey") * 37 % 128).cast("double").alias("sx"), (F.col("s_suppkey") * 91 % 118).cast("double").alias("sy"))
+    """idx, x, y in cells: the suppliers, spread over the grid."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").cast("int").alias("idx"), (F.col("s_suppkey") * 37 % 128).cast("double").alias("sx"), (F.col("s_suppkey") * 1.125).alias("sy"))
 
 
-STATIONS = "stations AS (SELECT CAST(s_suppkey AS INTEGER) AS idx, CAST(s_suppkey * 37 % 128 AS DOUBLE) AS sx, CAST(s_suppkey * 91 % 118 AS DOUBLE) AS sy FROM supplier WHERE s_suppkey < 5)"
+STATIONS = "stations AS (SELECT CAST(s_suppkey AS INTEGER) AS idx, CAST(s_suppkey * 37 % 128 AS DOUBLE) AS sx, s_suppkey * 1.125::DOUBLE AS sy FROM supplier)"
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,9 @@ def test_closure_ranks(spark):
 def test_weights_sum_to_one(spark):
     cells = spark.createDataFrame([(i, i // 5, i % 5) for i in range(25)], "cell_index long, r int, c int")
     stations = spark.createDataFrame([(0, 1.0, 1.0), (1, 4.0, 0.0), (2, 2.0, 4.0)], "idx int, sx double, sy double")
-    near = weights.distances(cells, stations)
-    for w in (weights.inverse_distance(near), weights.quantise(weights.inverse_distance(near)), weights.quadrant(near), weights.triangle(cells, near, stations)):
+    near = weights.nearest(cells, stations, 3, 1.0)
+    assert near.count() == 75 and weights.distances(cells, stations, 2.0).filter('d2 >= 4').count() == 0
+    for w in (weights.inverse_distance(near), weights.quantise(weights.inverse_distance(near)), weights.quadrant(near), weights.triangle(near)):
         assert all(abs(r.s - 1) < 1e-9 for r in w.groupBy("cell_index").agg(F.sum("weight").alias("s")).collect())
     on = {r.idx: r.weight for r in weights.inverse_distance(near).filter("cell_index = 6").collect()}
     assert on == {0: 1.0, 1: 0.0, 2: 0.0}
