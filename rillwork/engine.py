@@ -5,28 +5,92 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import flow, grid, zonal
+from .functions import hydrology as H
+from .operators import bmp, delineation, flow, grid, reach, rotation, zonal
 from .operators.iterate import written
+from .sources import io
 from .sources.io import save_table
 
 Asset = Callable[["Engine"], DataFrame]
 
 
+def _acc(e: "Engine") -> DataFrame:
+    return flow.tree(e["flow_edges"].select("cell_index", "down", F.lit(1).cast("long").alias("acc")), ["acc"])
+
+
+def _reach_cells(e: "Engine") -> DataFrame:
+    own = e.cells.select("cell_index", "dem").join(e["acc"], "cell_index").join(e["subbasins"].select("cell_index", "subbasin"), "cell_index")
+    km2 = e.res * e.res / 1e6
+    depth = H.reach_depth(F.col("acc"), km2, 2)
+    own = own.withColumn("is_stream", F.col("acc") * e.cell_ha >= e.stream_ha).withColumn("width", H.reach_width(F.col("acc"), km2, 2))
+    return own.withColumn("depth", depth).withColumn("velocity", H.manning_velocity(F.lit(0.01), depth, F.lit(0.05)))
+
+
+#: What is derived from the cells, by name; each names what it needs through the engine.
+ASSETS: dict[str, Asset] = {
+    "flow_edges": lambda e: grid.flow_edges(e.cells, e.res, e.cols),
+    "acc": _acc,
+    "slope": lambda e: delineation.slope_degrees(e.cells, "dem", e.res),
+    "streams": lambda e: delineation.threshold_streams(e["acc"], e.stream_ha, e.cell_ha),
+    "stream_ends": lambda e: delineation.stream_ends(e["flow_edges"], e["streams"]),
+    "pour_points": lambda e: delineation.merge_pour_points({"streams": e["stream_ends"], **e.pour_points}),
+    "subbasins": lambda e: delineation.number_subbasins(delineation.watersheds(e["flow_edges"], e["pour_points"])),
+    "stream_lines": lambda e: delineation.stream_lines(e["flow_edges"], e["streams"], e["subbasins"]),
+    "watershed": lambda e: flow.jump(e["flow_edges"].withColumnRenamed("dist", "length"), ["length"]),
+    "reach_cells": _reach_cells,
+    "reach_parameter": lambda e: reach.reach_parameter(e["reach_cells"], e["flow_edges"], e.cell_ha, e.res),
+    "reach_lookup": lambda e: flow.closure(e["reach_parameter"].select("reach_id", "receive_reach_id"), "reach_id", "receive_reach_id"),
+    "field_cells": lambda e: e.cells.select("cell_index", "field").join(e["subbasins"].select("cell_index", "subbasin"), "cell_index"),
+    "overlay": lambda e: zonal.overlay(e["field_cells"], "field", "subbasin", e.cell_ha),
+    "field_area": lambda e: zonal.category_area(e.cells, "field", e.cell_ha),
+    "dominant_landuse": lambda e: zonal.majority(e.cells, "field", "landuse"),
+    "dominant_crop": lambda e: rotation.dominant_crop(e.inventory),
+    "subbasin_multiplier": lambda e: bmp.subbasin_multiplier(e["subbasins"]),
+}
+#: Steps of a whole run, in the order in which tables are built.
+DELINEATION = ("flow_edges", "acc", "slope", "streams", "pour_points", "subbasins", "stream_lines")
+PARAMETERS = ("reach_parameter", "reach_lookup", "overlay", "field_area", "dominant_landuse", "subbasin_multiplier")
+ROTATION = ("dominant_crop",)
+
+
 class Engine:
-    """assets: functions of the engine by name. Those in kept are written once and read by all that need them; the others are plans that Spark joins into one job."""
+    """Assets by name, each made on demand and once. Those in kept are written and read by all that need them; the others are
+    plans that Spark joins into one job. pour_points: further sources by name (cell_index). inventory: year, field, code, cell_index."""
 
-    def __init__(self, spark: SparkSession, cells: DataFrame, res: float, cols: int, assets: dict[str, Asset] | None = None, kept: tuple[str, ...] = ("flow_edges",)) -> None:
+    def __init__(
+        self, spark: SparkSession, cells: DataFrame, res: float, cols: int, assets: dict[str, Asset] | None = None,
+        kept: tuple[str, ...] = ("flow_edges", "acc", "subbasins", "reach_parameter"), stream_ha: float = 10.0,
+        pour_points: dict[str, DataFrame] | None = None, inventory: DataFrame | None = None,
+    ) -> None:
         self.spark, self.cells, self.res, self.cols, self.kept = spark, cells, res, cols, set(kept)
-        self.assets: dict[str, Asset] = {
-            "flow_edges": lambda e: grid.flow_edges(e.cells, e.res, e.cols),
-            "watershed": lambda e: flow.jump(e["flow_edges"].withColumnRenamed("dist", "length"), ["length"]),
-            "overlay": lambda e: zonal.overlay(e.cells, "field", "subbasin", e.res * e.res / 10_000),
-            "field_area": lambda e: zonal.category_area(e.cells, "field", e.res * e.res / 10_000),
-            "dominant_landuse": lambda e: zonal.majority(e.cells, "field", "landuse"),
-        } | (assets or {})
+        self.cell_ha, self.stream_ha, self.pour_points, self.inventory = res * res / 10_000, stream_ha, pour_points or {}, inventory
+        self.assets = ASSETS | (assets or {})
         self._made: dict[str, DataFrame] = {}
 
+    def delineate(self, database: str) -> None:
+        self.save(database, list(DELINEATION))
+
+    def parameters(self, database: str) -> None:
+        self.save(database, list(PARAMETERS))
+
+    def crop_rotation(self, database: str) -> None:
+        if self.inventory is not None:
+            self.save(database, list(ROTATION))
+
+    def scenario(self, database: str, folder: str, config: list[str]) -> None:
+        """The model's files: constants and the reach table."""
+        io.model_files(self.spark, folder, config)
+        io.reach_parameter_file(self.spark, self["reach_parameter"], f"{folder}/reachParameter.txt")
+
+    def run(self, database: str, folder: str, config: list[str] | None = None) -> None:
+        """All steps: delineation, parameters, crop rotation, scenario."""
+        self.delineate(database)
+        self.parameters(database)
+        self.crop_rotation(database)
+        self.scenario(database, folder, config or [])
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             made = self.assets[name](self)

@@ -26,11 +26,14 @@ def with_next(edges: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def inlets(steps: DataFrame) -> DataFrame:
-    """subbasin, inlet: where the stream of the greatest accumulation enters; in headwaters the stream cell of the least accumulation. Ties go to the least cell."""
+    """subbasin, inlet: where the stream of the greatest accumulation enters; in headwaters the stream cell of the
+    least accumulation; without any stream cell the end. Ties go to the least cell."""
     enters = steps.filter("is_stream and n_is_stream and subbasin <> n_subbasin")
     main = enters.groupBy(F.col("n_subbasin").alias("subbasin")).agg(F.max(F.struct("acc", (-F.col("down")).alias("m"))).alias("b"))
-    head = steps.filter("is_stream").groupBy("subbasin").agg(F.min(F.struct("acc", "cell_index")).alias("h"))
-    return head.join(main, "subbasin", "left").select("subbasin", F.coalesce(-F.col("b.m"), F.col("h.cell_index")).alias("inlet"))
+    first = F.min(F.when(F.col("is_stream"), F.struct("acc", "cell_index")))
+    end = F.max(F.struct("acc", (-F.col("cell_index")).alias("m")))
+    head = steps.groupBy("subbasin").agg(F.coalesce(first["cell_index"], -end["m"]).alias("head"))
+    return head.join(main, "subbasin", "left").select("subbasin", F.coalesce(-F.col("b.m"), "head").alias("inlet"))
 
 
 def ways(steps: DataFrame, min_length: float, min_slope: float) -> DataFrame:

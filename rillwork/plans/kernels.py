@@ -16,9 +16,9 @@ def priority_flood(spark, sf_dir):
 
 @query()
 def fill_depressions(spark, sf_dir):
-    """How much the flood raises each cell of a basin."""
-    filled = raster.priority_flood(cells(spark, sf_dir), "subbasin").select("r", "c", "filled")
-    return filled.join(cells(spark, sf_dir).select("r", "c", "dem"), ["r", "c"]).select("r", "c", "filled", (F.col("filled") - F.col("dem")).alias("raised"))
+    """How much the fill of the whole grid, tile by tile with their rims, raises each cell."""
+    filled = raster.fill_depressions(cells(spark, sf_dir), 64)
+    return filled.select("r", "c", "filled", (F.col("filled") - F.col("dem")).alias("raised"))
 
 
 def squares(spark, sf_dir):

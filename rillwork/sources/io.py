@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schemas import SCHEMAS
 
 
+#: Lines of an ASCII grid's header.
+HEADER_LINES = 6
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
-    """An ASCII grid as cells (r, c, value), nodata left out, and its six header values. Lines are numbered by their place in the file, which has to be one split (wholetext keeps it one)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("n", "line"))
-    words = F.split(F.trim("line"), r"\s+")
-    head = {r.k.lower(): float(r.v) for r in lines.filter("n < 6").select(words[0].alias("k"), words[1].alias("v")).collect()}
-    cells = lines.filter("n >= 6").select((F.col("n") - 6).alias("r"), F.posexplode(words).alias("c", "v")).select("r", "c", F.expr("try_cast(v as double)").alias("value"))
-    return cells.filter(F.col("value") != head.get("nodata_value", -9999.0)), head
+    """An ASCII grid as cells (r, c, value), nodata left out, and its six header values. The header is the first task's; a
+    line's row follows from its place: lines are numbered within their split of the file, and the splits by their sizes."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("place"))
+    words = F.split("line", r"\s+")
+    head = {r.k.lower(): float(r.v) for r in lines.limit(HEADER_LINES).select(words[0].alias("k"), words[1].alias("v")).collect()}
+    part = F.shiftright("place", 33)
+    sizes = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each split
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - HEADER_LINES).alias("before"))
+    rows = lines.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("r"), "line")
+    cells = rows.filter("r >= 0 and line <> ''").select(F.col("r").cast("int").alias("r"), F.posexplode(words).alias("c", "v"))
+    return cells.select("r", "c", F.expr("try_cast(v as double)").alias("value")).filter(F.col("value") != head.get("nodata_value", -9999.0)), head
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -84,3 +93,105 @@ def grid_ranges(store: DataFrame) -> DataFrame:
 def station_lines(stations: DataFrame, path: str) -> None:
     """The model's input list: a line for each station, values between pipes; one small file."""
     stations.select(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in stations.columns]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def default_table(spark: SparkSession, folder: str, name: str, own: dict[str, str] | None = None) -> DataFrame:
+    """A default table from the folder's CSV files, or the user's own file where one is named."""
+    return spark.read.csv((own or {}).get(name) or f"{folder}/{name}.csv", header=True, inferSchema=True)
+
+
+def year_lookups(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """The two crop lookups as one table with the period that each holds for."""
+    read = lambda path, period: spark.read.csv(path, header=True).withColumn("period", F.lit(period))
+    return read(before, "before").unionByName(read(after, "after"), allowMissingColumns=True)
+
+
+def station_weights(weights: DataFrame, kind: str, station: int) -> DataFrame:
+    """One station's weights of one type. The store is partitioned by type, so others are not read."""
+    return weights.filter((F.col("type") == kind) & (F.col("idx") == station)).select("cell_index", "weight")
+
+
+def save_weights(weights: DataFrame, path: str) -> None:
+    """type, cell_index, idx, weight, a folder for each type."""
+    weights.write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def duplicate(store: DataFrame, kind: str, copy: str, column: str = "type") -> DataFrame:
+    """The store with one type's rows again under another name, as where two types share their stations."""
+    return store.unionByName(store.filter(F.col(column) == kind).withColumn(column, F.lit(copy)))
+
+
+def save_vector(features: DataFrame, path: str) -> None:
+    """Features with their rings and attributes as one table."""
+    features.write.mode("overwrite").parquet(path)
+
+
+def save_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def insert_rows(spark: SparkSession, rows: list[dict], name: str) -> None:
+    """A few rows appended to a catalogue table, in its own columns and types; what a row doesn't name is NULL."""
+    columns = spark.table(name).schema
+    spark.createDataFrame([tuple(r.get(c.name) for c in columns) for r in rows], columns).write.mode("append").insertInto(name)
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """id and ring (x, y) of polygons in a text file of id and WKT, tab-separated; a polygon's first ring counts."""
+    rows = spark.read.csv(path, sep="\t", schema="id long, wkt string").filter(F.col("wkt").startswith("POLYGON"))
+    return rows.select("id", _coordinates(F.regexp_extract("wkt", r"\(\(([^)]*)\)", 1)).alias("ring"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """id and line (x, y) of line features."""
+    rows = spark.read.csv(path, sep="\t", schema="id long, wkt string").filter(F.col("wkt").startswith("LINESTRING"))
+    return rows.select("id", _coordinates(F.regexp_extract("wkt", r"\(([^)]*)\)", 1)).alias("line"))
+
+
+def _coordinates(text: Column) -> Column:
+    pairs = F.transform(F.split(F.trim(text), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+    return F.transform(pairs, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def _write_text(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """A small file of the driver's own lines, as one text part in a folder of the store."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, value string")
+    rows.coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def model_files(spark: SparkSession, folder: str, config: list[str]) -> None:
+    """The model's constant files: what it puts out, and its configuration."""
+    _write_text(spark, f"{folder}/file.out", ["OUTPUTTYPE | 1"])
+    _write_text(spark, f"{folder}/config.fig", config)
+
+
+def reach_parameter_file(spark: SparkSession, reaches: DataFrame, path: str) -> None:
+    """Numbers of rows and columns, then the header behind a "#", then a line for each reach. Reaches are thousands at most, so one task writes them in order."""
+    n, columns = reaches.count(), reaches.columns
+    head = spark.createDataFrame([(0, str(n)), (1, str(len(columns))), (2, "#" + "\t".join(columns))], "n long, value string")
+    body = reaches.select((F.col("reach_id") + 2).cast("long").alias("n"), F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in columns]).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def json_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of each row as one JSON text."""
+    return df.withColumn("json", F.to_json(F.struct(*[F.col(c) for c in columns])))
+
+
+#: Canonical names of a project's inputs; fixed values.
+CANONICAL = {"dem": "dem", "soil": "soil", "landuse": "landuse", "field": "field", "farm": "farm", "boundary": "boundary", "stream": "user_stream", "outlet": "outlet"}
+
+
+def ingest(spark: SparkSession, project, database: str) -> list[str]:
+    """A project's rasters and vectors as catalogue tables under their canonical names."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    made = []
+    for name, path in {**project.rasters, **project.vectors}.items():
+        df = read_ascii_grid(spark, path)[0] if name in project.rasters else read_points(spark, path)
+        save_table(df, f"{database}.{CANONICAL.get(name, name)}")
+        made.append(CANONICAL.get(name, name))
+    return made

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import flow, raster, relations, weights
+from rillwork.operators import checks, flow, raster, relations, weights
+from rillwork.operators import grid as grid_ops
 from rillwork.streaming.readings import reading_stream, upsert, windowed_sums
 
 
@@ -80,3 +81,52 @@ def test_stream_equals_batch(spark, tmp_path):
     out = {(r.start, r.event_type): r.n for r in spark.read.parquet(target).collect()}
     batch = {(r.start, r.event_type): r.n for r in windowed_sums(spark.read.parquet(f"{folder}/events.parquet")).collect()}
     assert out and set(out) <= set(batch) and all(batch[k] == n for k, n in out.items())
+
+
+def test_fill_over_tiles_is_the_fill_of_the_whole(spark):
+    rng = random.Random(6)
+    grid = {(r, c): float(rng.randint(1, 40)) for r in range(23) for c in range(19) if rng.random() > 0.03}
+    grid |= {(r, c): 2.0 for r in range(6, 17) for c in range(5, 15) if (r, c) in grid}  # a hollow over several tiles
+    whole = {at: level for at, (level, _) in raster.flood(grid).items()}
+    # The least level over ways out, by relaxation.
+    level = {at: float("inf") for at in grid}
+    moved = True
+    while moved:
+        moved = False
+        for (r, c), z in grid.items():
+            beside = [level.get((r + dy, c + dx), 0.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
+            low = max(z, min(beside))
+            moved |= low < level[r, c]
+            level[r, c] = min(low, level[r, c])
+    assert whole == level
+    table = spark.createDataFrame([(r, c, z) for (r, c), z in grid.items()], "r int, c int, dem double")
+    for tile in (4, 7, 64):
+        assert {(r.r, r.c): r.filled for r in raster.fill_depressions(table, tile).collect()} == whole
+
+
+def test_cycles_are_errors(spark):
+    table = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, None, 1.0)], "cell_index long, down long, dist double")
+    for run in (lambda: flow.jump(table, ["dist"]), lambda: flow.tree(table, ["dist"]), lambda: flow.strahler(table), lambda: flow.closure(table, "cell_index", "down")):
+        with pytest.raises(RuntimeError):
+            run()
+
+
+def test_numbers_and_neighbours_with_holes(spark):
+    rng = random.Random(8)
+    values = {(r, c): float(rng.randint(1, 9)) for r in range(12) for c in range(9) if rng.random() > 0.2}
+    table = spark.createDataFrame([(r, c, r * 100 + c, v) for (r, c), v in values.items()], "r int, c int, cell_index long, v double")
+    for row in grid_ops.neighbour_values(table, "v").collect():
+        for k, dx, dy in grid_ops.STEPS:
+            assert row[f"n{k}"] == values.get((row.r + dy, row.c + dx))
+    got = sorted((r.v, r.cell_index, r.n) for r in grid_ops.rank_rows(table, "v", "cell_index", name="n").collect())
+    assert [n for *_, n in got] == list(range(1, len(values) + 1))
+
+
+def test_checks(spark):
+    one = {"rows": 5, "cols": 4, "epsg": 1, "res_x": 10.2, "west": 0.0, "east": 40.0}
+    assert checks.extent_findings(one, one | {"west": 5.0, "res_x": 10.9}) == [] and checks.extent_findings(one, one | {"rows": 6, "east": 99.0}) == ["rows", "east"]
+    assert checks.layer_findings(["ID", "OPERATION"], "point_source", "Point", "point", 1, 2) == ["projection", "column table_name"]
+    lots = spark.createDataFrame([(1, 1, 7, "3, 4", "0.5,0.5"), (2, 1, 7, "3,9", "1"), (3, 5, 0, None, None)], "id int, ani_id int, cb int, stoid string, storatio string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
+    got = sorted(map(tuple, checks.findings(checks.feedlot(lots, ids(3, 4), ids(7), ids(1))).collect()))
+    assert got == [("feedlot of no animal", 3), ("feedlot of no storage", 2), ("feedlot storages and shares differ in number", 2)]

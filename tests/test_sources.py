@@ -42,3 +42,49 @@ def test_tables_and_engine(spark, tmp_path):
     assert [r[0] for r in df.select(io.positive("k")).collect()] == [1, None, None]
     io.station_lines(df, str(tmp_path / "lines"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["-3|z", "0|y", "1|x"]
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "shapes.tsv").write_text("1\tPOLYGON ((0 0, 4 0, 4 3, 0 0))\n2\tLINESTRING (0 0, 1 1.5)\n")
+    ring = io.read_polygons(spark, str(tmp_path / "shapes.tsv")).first()
+    assert ring.id == 1 and [tuple(p) for p in ring.ring] == [(0, 0), (4, 0), (4, 3), (0, 0)]
+    assert [tuple(p) for p in io.read_lines(spark, str(tmp_path / "shapes.tsv")).first().line] == [(0, 0), (1, 1.5)]
+    (tmp_path / "soil.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "own.csv").write_text("a,b\n3,4\n5,6\n")
+    assert io.default_table(spark, str(tmp_path), "soil").count() == 1 and io.default_table(spark, str(tmp_path), "soil", {"soil": str(tmp_path / "own.csv")}).count() == 2
+    assert {r.period for r in io.year_lookups(spark, str(tmp_path / "soil.csv"), str(tmp_path / "own.csv")).collect()} == {"before", "after"}
+    w = spark.createDataFrame([("P", 1, 0, 0.5), ("P", 1, 1, 0.5), ("T", 1, 0, 1.0)], "type string, cell_index long, idx int, weight double")
+    io.save_weights(io.duplicate(w, "P", "PET"), str(tmp_path / "w"))
+    store = spark.read.parquet(str(tmp_path / "w"))
+    assert store.count() == 5 and io.station_weights(store, "PET", 1).collect() == [(1, 0.5)]
+    io.save_csv(w, str(tmp_path / "csv"))
+    io.save_vector(w, str(tmp_path / "vec"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == spark.read.parquet(str(tmp_path / "vec")).count() == 3
+    io.model_files(spark, str(tmp_path), ["a", "b"])
+    assert [r.value for r in spark.read.text(f"{tmp_path}/config.fig").collect()] == ["a", "b"] and spark.read.text(f"{tmp_path}/file.out").first().value == "OUTPUTTYPE | 1"
+    assert io.json_rows(w, "type", "idx").first().json == '{"type":"P","idx":0}'
+
+
+def test_catalogue_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS rill_t LOCATION '{tmp_path}/db'")
+    io.create_tables(spark, "rill_t")
+    assert io.table_exists(spark, "rill_t.reach") and not io.table_exists(spark, "rill_t.none")
+    io.insert_rows(spark, [{"reach": 1, "receive": 0}, {"reach": 2, "elevation": 3.5}], "rill_t.reach")
+    assert sorted(map(tuple, spark.table("rill_t.reach").collect()), key=str) == [(1, 0, None, None), (2, None, None, 3.5)]
+    assert io.save_table(spark.createDataFrame([(1,)], "a int"), "rill_t.x") and not io.save_table(spark.createDataFrame([], "a int"), "rill_t.x")
+    spark.sql("DROP DATABASE rill_t CASCADE")
+
+
+def test_whole_run(spark, tmp_path):
+    c = cells(spark, "/root/testdata/sf0.001").drop("acc", "is_stream", "subbasin")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS rill_e LOCATION '{tmp_path}/db'")
+    inventory = c.selectExpr("2001 as year", "field", "landuse as code", "cell_index")
+    engine = Engine(spark, c, CELL_M, COLS, stream_ha=0.04, inventory=inventory, pour_points={"outlets": spark.createDataFrame([(7,)], "cell_index long")})
+    engine.run("rill_e", str(tmp_path / "model"), ["x"])
+    reaches = spark.table("rill_e.reach_parameter")
+    assert reaches.count() == spark.table("rill_e.subbasins").select("subbasin").distinct().count() > 100 and len(reaches.columns) == 15 + 34
+    lines = [r.value for r in spark.read.text(str(tmp_path / "model/reachParameter.txt")).collect()]
+    assert lines[0] == str(reaches.count()) and lines[1] == "49" and lines[2].startswith("#reach_id\tsubbasin_id") and lines[3].startswith("1\t1\t1\t")
+    lookup = {(r.node, r.below) for r in spark.table("rill_e.reach_lookup").collect()}
+    assert {r.reach_id for r in reaches.collect()} == {n for n, b in lookup if b == 0}
+    spark.sql("DROP DATABASE rill_e CASCADE")
