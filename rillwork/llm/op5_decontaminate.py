@@ -6,8 +6,10 @@ corpus, one prefix token is enough: the window's rarest word. The join meets a d
 only. The token's place in the window gives the candidate's place in the document (positional bound), which has to lie
 inside it (length bound); then the window's words are compared one by one.
 
-The benchmark's windows are broadcast in parts of at most part_windows (window, item) pairs, whatever its size; one part
-is one pass over the documents. Documents are never shuffled, unless there are several parts, whose findings meet by row.
+One pass over the documents counts the words of all windows, by a broadcast of at most VOCABULARY_MAX words, else by an
+aggregation of each document's distinct words. The benchmark's windows are then broadcast in parts of at most part_windows
+(window, item) pairs, whatever its size; one part is one pass over the documents. Documents are never shuffled, unless there
+are several parts, whose findings meet by row.
 
 Cases: a null text has no words. Items without words or without id have no windows; rows of one item id are one item. A
 word is hit once, however many windows cover it. Rows with equal ids keep a row each. An empty benchmark finds nothing;
@@ -26,6 +28,7 @@ from .common import free_name, materialise, read, row_keys, sliced, text_bytes
 
 WINDOW = 10
 PART_WINDOWS = 200_000
+VOCABULARY_MAX = 1_000_000
 #: A-Z become a-z; digits, letters and bytes of other characters stay; all else becomes a space.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -56,9 +59,30 @@ def item_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "t
     return [pairs.filter(F.pmod(F.xxhash64("window", "item"), F.lit(n)) == k) for k in range(n)]
 
 
-def rarity(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
-    """Documents of the whole corpus that hold each word of the vocabulary; tasks count, and one row for each of its words comes back."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _window_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = {w for x in b.column("window").to_pylist() for w in x.split(b" ")}
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], names=["word"])
+
+
+def words_in(windows: DataFrame) -> DataFrame:
+    return windows.select("window").mapInArrow(_window_words, "word binary").distinct()
+
+
+def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        words = [w for t in b.column("text").to_pylist() for w in set(words_of(t))]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])
+
+
+def rarity(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text", vocabulary_max: int = VOCABULARY_MAX) -> DataFrame:
+    """word, n: the documents of the whole corpus that hold each word of the vocabulary (word); words that none holds are left out."""
+    texts = docs.select(text_bytes(text_col).alias("text"))
+    vocabulary = materialise(vocabulary)
+    if vocabulary.count() > vocabulary_max:
+        counts = texts.mapInArrow(_document_words, "word binary").groupBy("word").agg(F.count("*").alias("n"))
+        return materialise(counts.join(vocabulary, "word", "left_semi"))
+    known = docs.sparkSession.sparkContext.broadcast({bytes(r.word) for r in vocabulary.collect()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = dict.fromkeys(known.value, 0)
@@ -69,24 +93,34 @@ def rarity(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> d
         seen = [(w, n) for w, n in found.items() if n]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([n for _, n in seen], pa.int64())], names=["word", "n"])
 
-    counts = docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in counts.collect()}
+    return materialise(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def prefix_index(part: DataFrame, docs: DataFrame, text_col: str = "text") -> Index:
-    """Of a part's windows by prefix token: the token's place, the window's words and its items. A window with a word that no document has is left out."""
+def prefix_index(part: DataFrame, counts: DataFrame) -> Index:
+    """Of a part's windows by prefix token: the token's place, the window's words and its items. A window with a word that no document has is left out. counts: as of rarity()."""
     items: dict[tuple[bytes, ...], list[str]] = {}
     for r in part.collect():
         items.setdefault(tuple(bytes(r.window).split(b" ")), []).append(r.item)
-    found = rarity(docs, {w for window in items for w in window}, text_col) if items else {}
+    found = {bytes(r.word): r.n for r in counts.join(words_in(part), "word", "left_semi").collect()} if items else {}
     index: Index = {}
     for window, own in items.items():
-        least = min(range(len(window)), key=lambda k: (found.get(window[k], 0), window[k], k))
-        if found.get(window[least]):
+        if all(w in found for w in window):
+            least = min(range(len(window)), key=lambda k: (found[window[k]], window[k], k))
             index.setdefault(window[least], []).append((least, window, own))
     return index
 
 
+def part_indexes(docs: DataFrame, text_col: str, bench: DataFrame, item_col: str, item_text_col: str, part_windows: int) -> Iterator:
+    """The parts' indexes, each broadcast when it is its turn."""
+    parts = item_windows(bench, item_col, item_text_col, part_windows)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    counts = rarity(docs, words_in(every), text_col)
+    for p in parts:
+        yield docs.sparkSession.sparkContext.broadcast(prefix_index(p, counts))
+
+
 def occurrences(words: list[bytes], index: Index) -> Iterator[tuple[int, int, list[str]]]:
     """start, end and items of every window that occurs."""
     n = len(words)
@@ -129,10 +163,9 @@ def _hits(index):
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_windows: int = PART_WINDOWS) -> DataFrame:
     """A row for each document: doc_id, n_words, spans (merged, in words), items (ids of the items with occurring windows, as strings)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), text_bytes(text_col).alias("text"))
     schema = f"doc_id {kind}, k1 long, k2 long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
-    passes = [given.mapInArrow(_hits(spark.sparkContext.broadcast(prefix_index(p, docs, text_col))), schema) for p in item_windows(bench, item_col, item_text_col, part_windows)]
+    passes = [given.mapInArrow(_hits(index), schema) for index in part_indexes(docs, text_col, bench, item_col, item_text_col, part_windows)]
     if len(passes) == 1:
         return passes[0].select("doc_id", "n_words", "spans", "items")
     rest = passes[1]
@@ -157,8 +190,7 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: s
         return run
 
     out = docs
-    for p in item_windows(bench, item_col, item_text_col, part_windows):
-        index = docs.sparkSession.sparkContext.broadcast(prefix_index(p, docs, text_col))
+    for index in part_indexes(docs, text_col, bench, item_col, item_text_col, part_windows):
         out = out.withColumn(text_name, F.col(f"`{text_col}`").cast("string")).mapInArrow(keep(index), docs.schema)
     return out
 

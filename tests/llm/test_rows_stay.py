@@ -44,3 +44,10 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         common.shared_dir(Elsewhere)
+
+
+def test_rarity_either_way(spark):
+    docs = spark.createDataFrame([("a b a c",), ("b c",), (None,), ("c é",)], "text string")
+    words = spark.createDataFrame([(bytearray(w.encode()),) for w in ("a", "c", "é", "none")], "word binary")
+    for most in (10, 0):
+        assert {bytes(r.word).decode(): r.n for r in op5_decontaminate.rarity(docs, words, vocabulary_max=most).collect()} == {"a": 1, "c": 3, "é": 1}
