@@ -17,10 +17,17 @@ from .op7_simhash import op7_simhash_bktree
 from .op8_counts import op8_token_counts
 from .op9_chat import op9_chat_windows
 from .op10_lines import op10_fuzzy_lines
+from .op11_audit import op11_subset_zeta
+from .op12_variants import op12_trie_variants
+from .op13_pretokens import op13_word_shuffle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_frequency, op2_best_fit, op3_suffix_text, op4_keyed_surrogates, op5_prefix_join, op6_addressable_codes, op7_simhash_bktree, op8_token_counts, op9_chat_windows, op10_fuzzy_lines)
+    own = (
+        op1_line_frequency, op2_best_fit, op3_suffix_text, op4_keyed_surrogates, op5_prefix_join, op6_addressable_codes,
+        op7_simhash_bktree, op8_token_counts, op9_chat_windows, op10_fuzzy_lines, op11_subset_zeta, op12_trie_variants,
+        op13_word_shuffle,
+    )
     return {f.__name__: f for f in own}
 
 
