@@ -124,13 +124,12 @@ def mask_counts(masks: DataFrame, labels: DataFrame) -> DataFrame:
 
 def survivors(counts: DataFrame, letters: str = LETTERS, what: tuple[str, ...] = ("n", "good", "toxic")) -> DataFrame:
     """part and, for each count, an array: how many of the part's documents survive each set of filters, by the set's bits."""
-    every = range(1 << len(letters))
-    of_mask = [F.coalesce(F.sum(F.when(F.col("mask") == m, F.col(c))), F.lit(0)).alias(f"{c}_{m}") for c in what for m in every]
-    sums = counts.groupBy("part").agg(*of_mask)
+    last = (1 << len(letters)) - 1
+    of_mask = counts.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("mask", F.struct(*what)))).alias("of"))
+    sums = of_mask.selectExpr("part", *(f"transform(sequence(0, {last}), m -> coalesce(of[m].{c}, 0L)) AS {c}" for c in what))
     for bit in (1 << i for i in range(len(letters))):
-        step = [(F.col(f"{c}_{m}") + F.col(f"{c}_{m ^ bit}") if m & bit else F.col(f"{c}_{m}")).alias(f"{c}_{m}") for c in what for m in every]
-        sums = sums.select("part", *step)
-    return sums.select("part", *(F.array(*(F.col(f"{c}_{every[-1] ^ s}") for s in every)).alias(c) for c in what))
+        sums = sums.selectExpr("part", *(f"transform({c}, (x, i) -> x + if(i & {bit} > 0, {c}[i ^ {bit}], 0L)) AS {c}" for c in what))
+    return sums.selectExpr("part", *(f"reverse({c}) AS {c}" for c in what))  # a set's complement is as far from the end
 
 
 def steps(letters: str = LETTERS) -> list[tuple[str, int, int, int]]:
@@ -148,31 +147,22 @@ def steps(letters: str = LETTERS) -> list[tuple[str, int, int, int]]:
 def filter_audit(counts: DataFrame, letters: str = LETTERS) -> DataFrame:
     """A row for each part, order and step of the filters, from mask_counts."""
     size, whole = len(letters), (1 << len(letters)) - 1
-    rows = ", ".join(f"struct('{o}' AS filter_order, {k} AS step, {s} AS before, {b} AS bit)" for o, k, s, b in steps(letters))
-
-    def at(c: str, index) -> F.Column:
-        return F.element_at(F.col(c), index + 1)
-
-    def shapley(bit: int):
-        """Each set of other filters stands before this one in |set|! (rest)! of the orders."""
-        others = [s for s in range(whole + 1) if not s & bit]
-        weight = {s: factorial(s.bit_count()) * factorial(size - 1 - s.bit_count()) for s in others}
-        return sum((F.lit(weight[s]) * (F.col("n")[s] - F.col("n")[s | bit]) for s in others), F.lit(0))
-
-    values = F.array(*(shapley(1 << i) for i in range(size)))
-    table = survivors(counts, letters).withColumn("values", values).select("*", F.expr(f"inline(array({rows}))"))
-    before, bit = F.col("before"), F.col("bit")
-    after = before.bitwiseOR(bit)
-    removed = at("n", before) - at("n", after)
-    return table.select(
+    rows = ", ".join(f"('{o}', {k}, {s}, {b})" for o, k, s, b in steps(letters))
+    # Each set of other filters stands before a filter in |set|! (rest)! of the orders.
+    weights = ", ".join(f"{factorial(s.bit_count()) * factorial(max(0, size - 1 - s.bit_count()))}L" for s in range(whole + 1))
+    own = "shiftleft(1, k)"
+    value = f"aggregate(sequence(0, {whole}), 0L, (sum, s) -> sum + if(s & {own} > 0, 0L, weights[s] * (n[s] - n[s | {own}])))"
+    table = survivors(counts, letters).selectExpr("*", f"array({weights}) AS weights")
+    table = table.selectExpr("*", f"transform(sequence(0, {size - 1}), k -> {value}) AS shapleys")
+    return table.selectExpr("*", f"inline(array({rows})) AS (filter_order, step, before, bit)").selectExpr(
         "part", "filter_order", "step",
-        at("n", after).alias("kept"),
-        removed.alias("removed"),
-        (at("n", F.lit(0)) - at("n", bit) - removed).alias("redundant"),
-        (at("n", F.lit(whole) - bit) - at("n", F.lit(whole))).alias("unique_fails"),
-        (at("good", before) - at("good", after)).alias("good_lost"),
-        (at("toxic", before) - at("toxic", after)).alias("toxic_lost"),
-        F.element_at("values", (F.log2(bit) + 1).cast("int")).alias("shapley"),
+        "n[before | bit] AS kept",
+        "n[before] - n[before | bit] AS removed",
+        "n[0] - n[bit] - n[before] + n[before | bit] AS redundant",
+        f"n[{whole} - bit] - n[{whole}] AS unique_fails",
+        "good[before] - good[before | bit] AS good_lost",
+        "toxic[before] - toxic[before | bit] AS toxic_lost",
+        "shapleys[cast(log2(bit) AS int)] AS shapley",
     )
 
 
