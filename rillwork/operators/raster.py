@@ -1,16 +1,13 @@
-"""Kernels that built-in operators can't express: polygons to cells, and depressions. Each runs on one feature or one tile."""
+"""Kernels that built-in operators can't express: polygons to cells."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import STEPS
-from .iterate import written
 
 FEATURE = "id long, r int, c int"
 
@@ -78,69 +75,3 @@ def polygon_area(ring: str = "ring"):
     n = F.size(ring)
     cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ring, i)["x"] * F.get(ring, (i + 1) % n)["y"] - F.get(ring, (i + 1) % n)["x"] * F.get(ring, i)["y"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, b: a + b)) / 2
-
-
-def flood(cells: dict[tuple[int, int], float], levels: dict[tuple[int, int], float] | None = None) -> dict[tuple[int, int], tuple[float, int]]:
-    """Priority flood of one basin or tile: filled elevation, and the pointer code by which a cell was reached (0: edge). Cells
-    pop by elevation, then row and column. levels: water levels of cells around the tile, from which it may drain too; a
-    neighbour that is in neither is the outside."""
-    around = levels or {}
-    heap, out = [], {}
-    for (r, c), z in cells.items():
-        beside = [(r + dy, c + dx) for _, dx, dy in STEPS]
-        low = z if any(at not in cells and at not in around for at in beside) else min((max(z, around[at]) for at in beside if at in around), default=None)
-        if low is not None:
-            heap.append((low, r, c))
-    # Of equal levels of a cell the one that reached it first counts.
-    heap = [(low, r, c, n, 0) for n, (low, r, c) in enumerate(heap)]
-    heapq.heapify(heap)
-    n = len(heap)
-    while heap:
-        z, r, c, _, code = heapq.heappop(heap)
-        if (r, c) in out:
-            continue
-        out[r, c] = (z, code)
-        for k, dx, dy in STEPS:
-            at = (r + dy, c + dx)
-            if at in cells and at not in out:
-                heapq.heappush(heap, (max(cells[at], z), *at, n, 1 << (k + 4) % 8))
-                n += 1
-    return out
-
-
-def priority_flood(cells: DataFrame, basin: str) -> DataFrame:
-    """Fill and route each basin inside its own edge; a basin is one task's group, so choose basins of bounded size. A grid as a whole is filled by fill_depressions()."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = flood({(r, c): z for r, c, z in zip(pdf["r"], pdf["c"], pdf["dem"])})
-        return pd.DataFrame([(r, c, z, code) for (r, c), (z, code) in done.items()], columns=["r", "c", "filled", "code"])
-
-    return cells.select("r", "c", "dem", basin).groupBy(basin).applyInPandas(run, "r int, c int, filled double, code int")
-
-
-def _fill_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One tile with the cells around it: new levels, never above the old ones."""
-    own = pdf[pdf["own"]]
-    cells = {(r, c): z for r, c, z in zip(own["r"], own["c"], own["dem"])}
-    old = {(r, c): w for r, c, w in zip(own["r"], own["c"], own["level"])}
-    around = {(r, c): w for r, c, w in zip(*(pdf[~pdf["own"]][x] for x in ("r", "c", "level")))}
-    new = {at: min(level, old[at]) for at, (level, _) in flood(cells, around).items()}
-    rows = [(r, c, z, new.get((r, c), old[r, c]), new.get((r, c), old[r, c]) != old[r, c]) for (r, c), z in cells.items()]
-    return pd.DataFrame(rows, columns=["r", "c", "dem", "level", "moved"])
-
-
-def fill_depressions(cells: DataFrame, tile: int = 256) -> DataFrame:
-    """r, c, dem, filled: the lowest level at which water leaves the grid (or a hole in it), over the whole grid.
-
-    Each round floods every tile of tile x tile cells from the levels around it, which its neighbours reached in the round
-    before; the levels only fall, and are right when none falls any more, after about as many rounds as a way out crosses
-    tiles. A task holds one tile and its rim, and only rims are sent twice. The rounds are written."""
-    inf = float("inf")
-    now = written(cells.select("r", "c", "dem", F.lit(inf).alias("level"), F.lit(True).alias("moved")))
-    block = lambda c, d: F.floor((F.col(c) + d) / tile)
-    near = F.array_distinct(F.array(*[F.struct(block("r", i).alias("tr"), block("c", j).alias("tc")) for i in (0, -1, 1) for j in (0, -1, 1)]))
-    while not now.filter("moved").isEmpty():
-        rows = now.select("r", "c", "dem", "level", F.explode(near).alias("t")).select("r", "c", "dem", "level", "t.tr", "t.tc")
-        rows = rows.withColumn("own", (block("r", 0) == F.col("tr")) & (block("c", 0) == F.col("tc")))
-        now = written(rows.groupBy("tr", "tc").applyInPandas(_fill_tile, "r int, c int, dem double, level double, moved boolean"))
-    return now.select("r", "c", "dem", F.col("level").alias("filled"))

@@ -4,21 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster
-from ..sources.views import cells, table
+from ..operators import flood, raster, structures
+from ..sources.views import CELLS, COLS, cells, table
+from .drainage import STEPS
 from .registry import query
 
 
-@query()
+#: Structures of three by four cells; each cell's structure, of which the lowest cell is the outlet.
+ZONES = """zoned AS (SELECT *, CASE WHEN r % 7 < 3 AND c % 9 < 4 THEN (r // 7) * 15 + c // 9 + 1 ELSE 0 END AS structure FROM cells),
+ lowest AS (SELECT structure, arg_min(cell_index, [dem, -cell_index]) AS cell_index FROM zoned WHERE structure > 0 GROUP BY structure),
+ wet AS (SELECT z.*, l.cell_index IS NOT NULL AS outlet FROM zoned z LEFT JOIN lowest l ON z.cell_index = l.cell_index)"""
+BESIDE = """nbr AS (SELECT a.cell_index AS a, b.cell_index AS b, s.k, b.dem AS z, a.dem AS za, b.structure AS sb, a.structure AS sa, b.outlet
+ FROM wet a, steps s, wet b WHERE b.r = a.r + s.dy AND b.c = a.c + s.dx),
+ sides AS (SELECT a, count(*) < 8 AS open, count(*) FILTER (z < za) = 0 AS pit FROM nbr GROUP BY a)"""
+LEVELS = """levels(cell_index, f) USING KEY (cell_index) AS (SELECT w.cell_index, w.dem FROM wet w JOIN sides ON w.cell_index = a WHERE {seed}
+ UNION SELECT n.b, min(CASE WHEN {free} THEN l.f + 0.001 ELSE greatest(n.z, l.f + 0.001) END) AS f FROM levels l JOIN nbr n ON n.a = l.cell_index
+ LEFT JOIN recurring.levels k ON k.cell_index = n.b WHERE {way} GROUP BY n.b, k.f
+ HAVING k.f IS NULL OR min(CASE WHEN {free} THEN l.f + 0.001 ELSE greatest(n.z, l.f + 0.001) END) < k.f)"""
+MAY = "(n.sb = 0 OR n.sb = n.sa OR n.outlet)"
+FLOOD = LEVELS.format(seed="open AND (pit OR structure > 0)", free="n.outlet", way=MAY)
+#: The same flood without structures.
+PLAIN = LEVELS.format(seed="open AND pit", free="FALSE", way="TRUE")
+CODES = """codes AS (SELECT n.b AS cell_index, arg_min(1 << ((n.k + 4) % 8), [l.f, n.a]) AS code, arg_min(n.a, [l.f, n.a]) AS down FROM nbr n
+ JOIN levels l ON l.cell_index = n.a JOIN levels o ON o.cell_index = n.b WHERE {way} AND NOT (o.f = n.z AND n.b IN (SELECT a FROM sides JOIN wet w ON w.cell_index = a WHERE {seed})) GROUP BY n.b)"""
+
+
+def wetlands(spark, sf_dir):
+    """The cells with structures of three by four cells, their lowest cells as outlets."""
+    c = cells(spark, sf_dir)
+    inside = (F.col("r") % 7 < 3) & (F.col("c") % 9 < 4)
+    zoned = c.withColumn("structure", F.when(inside, F.floor(F.col("r") / 7) * 15 + F.floor(F.col("c") / 9) + 1).otherwise(0).cast("long"))
+    low = structures.lowest_outlets(zoned.filter("structure > 0").select(F.col("structure").alias("id"), "cell_index"), c)
+    return zoned.join(low.select("cell_index", F.lit(True).alias("outlet")), "cell_index", "left").fillna(False, ["outlet"])
+
+
+@query(
+    "SELECT r, c, round(f, 3) AS filled, CAST(coalesce(code, 0) AS INTEGER) AS code FROM wet LEFT JOIN levels USING (cell_index) LEFT JOIN codes USING (cell_index)",
+    CELLS, STEPS, ZONES, BESIDE, FLOOD, CODES.format(way=MAY, seed="open AND (pit OR structure > 0)"),
+)
 def priority_flood(spark, sf_dir):
-    return raster.priority_flood(cells(spark, sf_dir), "subbasin")
+    """Flow directions over the whole grid by a flood that enters structures at their outlets."""
+    return flood.route(wetlands(spark, sf_dir), 64).select("r", "c", F.round("filled", 3).alias("filled"), "code")
 
 
-@query()
+@query(
+    "SELECT r, c, round(f, 3) AS filled, round(f - dem, 3) AS raised FROM wet JOIN levels USING (cell_index)",
+    CELLS, STEPS, ZONES, BESIDE, LEVELS.format(seed="open", free="FALSE", way="TRUE"),
+)
 def fill_depressions(spark, sf_dir):
-    """How much the fill of the whole grid, tile by tile with their rims, raises each cell."""
-    filled = raster.fill_depressions(cells(spark, sf_dir), 64)
-    return filled.select("r", "c", "filled", (F.col("filled") - F.col("dem")).alias("raised"))
+    """How much the fill of the whole grid, tile by tile with their rims, raises each cell; flats rise by 0.001 a cell."""
+    filled = flood.fill_depressions(cells(spark, sf_dir), 64, 0.001)
+    return filled.select("r", "c", F.round("filled", 3).alias("filled"), F.round(F.col("filled") - F.col("dem"), 3).alias("raised"))
+
+
+@query(
+    """SELECT structure AS id, cell_index FROM (SELECT w.structure, w.cell_index, arg_min(x.structure, t.n) FILTER (x.structure > 0) AS met FROM wet w JOIN trail t ON w.cell_index = t.cell_index
+    LEFT JOIN wet x ON x.cell_index = t.pos WHERE w.structure > 0 GROUP BY w.structure, w.cell_index) WHERE met IS NULL OR met <> structure""",
+    CELLS, STEPS, ZONES, BESIDE, PLAIN, CODES.format(way="TRUE", seed="open AND pit"),
+    """trail AS (SELECT cell_index, down AS pos, 1 AS n FROM wet LEFT JOIN codes USING (cell_index) UNION ALL
+    SELECT t.cell_index, d.down, t.n + 1 FROM trail t JOIN wet x ON x.cell_index = t.pos JOIN codes d ON d.cell_index = t.pos WHERE x.structure = 0)""",
+)
+def flood_outlets(spark, sf_dir):
+    """Outlets of structures by the origin of the flood: crossings whose way does not come back first."""
+    c = wetlands(spark, sf_dir)
+    codes = flood.route(c.withColumn("structure", F.lit(0)).withColumn("outlet", F.lit(False)), 64)
+    return flood.flood_outlets(flood.edges_of(codes, COLS), c.filter("structure > 0").select("cell_index", F.col("structure").alias("id")))
 
 
 def squares(spark, sf_dir):

@@ -55,10 +55,7 @@ def test_weights_sum_to_one(spark):
     assert on == {0: 1.0, 1: 0.0, 2: 0.0}
 
 
-def test_flood_and_borders(spark):
-    bowl = {(r, c): 9.0 for r in range(5) for c in range(5)} | {(2, 2): 1.0, (2, 0): 5.0, (2, 1): 6.0}
-    done = raster.flood(bowl)
-    assert done[2, 2][0] == 6.0 and done[2, 2][1] == 32 and done[2, 0] == (5.0, 0)
+def test_borders(spark):
     assert list(raster.line_cells(0, 0, 3, 1)) == [(0, 0), (0, 1), (1, 2), (1, 3)]
     ring = [{"x": 0.0, "y": 0.0}, {"x": 20.0, "y": 0.0}, {"x": 20.0, "y": 20.0}, {"x": 0.0, "y": 20.0}]
     table = spark.createDataFrame([(1, ring), (2, ring)], "id long, ring array<struct<x:double,y:double>>")
@@ -83,27 +80,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert out and set(out) <= set(batch) and all(batch[k] == n for k, n in out.items())
 
 
-def test_fill_over_tiles_is_the_fill_of_the_whole(spark):
-    rng = random.Random(6)
-    grid = {(r, c): float(rng.randint(1, 40)) for r in range(23) for c in range(19) if rng.random() > 0.03}
-    grid |= {(r, c): 2.0 for r in range(6, 17) for c in range(5, 15) if (r, c) in grid}  # a hollow over several tiles
-    whole = {at: level for at, (level, _) in raster.flood(grid).items()}
-    # The least level over ways out, by relaxation.
-    level = {at: float("inf") for at in grid}
-    moved = True
-    while moved:
-        moved = False
-        for (r, c), z in grid.items():
-            beside = [level.get((r + dy, c + dx), 0.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
-            low = max(z, min(beside))
-            moved |= low < level[r, c]
-            level[r, c] = min(low, level[r, c])
-    assert whole == level
-    table = spark.createDataFrame([(r, c, z) for (r, c), z in grid.items()], "r int, c int, dem double")
-    for tile in (4, 7, 64):
-        assert {(r.r, r.c): r.filled for r in raster.fill_depressions(table, tile).collect()} == whole
-
-
 def test_cycles_are_errors(spark):
     table = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, None, 1.0)], "cell_index long, down long, dist double")
     for run in (lambda: flow.jump(table, ["dist"]), lambda: flow.tree(table, ["dist"]), lambda: flow.strahler(table), lambda: flow.closure(table, "cell_index", "down")):
