@@ -98,31 +98,3 @@ def components(links: DataFrame) -> DataFrame:
         if then.filter("old <> label").isEmpty():
             return then.select(F.col("a").alias("cell_index"), F.col("label").alias("region"))
         now = then.select("a", "label")
-
-
-def strahler(edges: DataFrame) -> DataFrame:
-    """Strahler orders by peeling levels: a node is settled once all nodes above it are. A round takes only the parents of the
-    last level's nodes: it adds to their counts of settled children, their top order and how many children have it. The
-    number of rounds is the network's depth, so peel reaches, not cells."""
-    need = edges.groupBy(F.col("down").alias("cell_index")).agg(F.count("*").alias("need")).filter("cell_index is not null")
-    state = written(edges.select("cell_index", "down").join(need, "cell_index", "left").select("cell_index", "down", F.coalesce("need", F.lit(0)).alias("need")))
-    total, settled = state.count(), []
-    last = written(state.filter("need = 0").select("cell_index", "down", F.lit(1).alias("order")))
-    open_ = written(state.filter("need > 0").select("cell_index", "down", "need", F.lit(0).alias("top"), F.lit(0).cast("long").alias("n_top")))
-    while n := last.count():
-        settled.append(last)
-        total -= n
-        came = last.filter("down is not null").groupBy(F.col("down").alias("cell_index"), "order").agg(F.count("*").alias("m"))
-        best = came.groupBy("cell_index").agg(F.max(F.struct("order", "m")).alias("b"), F.sum("m").alias("came"))
-        top = F.greatest("top", F.coalesce("b.order", F.lit(0)))
-        n_top = F.when(F.col("top") == top, F.col("n_top")).otherwise(0) + F.when(F.col("b.order") == top, F.col("b.m")).otherwise(0)
-        now = open_.join(best, "cell_index", "left").select("cell_index", "down", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), top.alias("top"), n_top.alias("n_top"))
-        now = written(now)
-        last = now.filter("need = 0").select("cell_index", "down", (F.col("top") + (F.col("n_top") >= 2).cast("int")).alias("order"))
-        open_ = now.filter("need > 0")
-    if total:
-        raise circle(total)
-    out = settled[0] if settled else last
-    for df in settled[1:]:
-        out = out.unionByName(df)
-    return out.select("cell_index", "order")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flow
+from . import contract, flow
+from .iterate import written
 
 #: Constant columns of the reach table; fixed values.
 CONSTANTS = {
@@ -60,35 +61,57 @@ def receiving(steps: DataFrame) -> DataFrame:
 
 
 def zonal_terms(cells: DataFrame, cell_ha: float) -> DataFrame:
-    """Means over stream cells (width and depth 0.1 at least), elevations of the stream, contribution area: one aggregation."""
+    """Means over stream cells (width and depth 0.1 at least), elevations of the stream, contribution area: one aggregation.
+    A subbasin without stream cells has width and depth 0.1, and the velocity and elevations of all its cells."""
     on = lambda c: F.when(F.col("is_stream"), F.col(c))
+    either = lambda f, c: F.coalesce(f(on(c)), f(F.col(c)))
     return cells.groupBy("subbasin").agg(
         F.greatest(F.avg(on("width")), F.lit(0.1)).alias("width"), F.greatest(F.avg(on("depth")), F.lit(0.1)).alias("depth"),
-        F.avg(on("velocity")).alias("velocity"), F.max(on("dem")).alias("max_elevation"), F.min(on("dem")).alias("min_elevation"),
-        F.avg(on("dem")).alias("ave_elevation"), (F.max("acc") * cell_ha).alias("contribution_area"),
+        either(F.avg, "velocity").alias("velocity"), either(F.max, "dem").alias("max_elevation"), either(F.min, "dem").alias("min_elevation"),
+        either(F.avg, "dem").alias("ave_elevation"), (F.max("acc") * cell_ha).alias("contribution_area"),
     )
 
 
 def orders(receive: DataFrame) -> DataFrame:
     """Strahler order of each reach."""
     e = receive.select(F.col("subbasin").alias("cell_index"), F.when(F.col("receive") > 0, F.col("receive")).alias("down"))
-    return flow.strahler(e).select(F.col("cell_index").alias("subbasin"), F.col("order").alias("stream_order"))
+    return contract.contract(e).select(F.col("cell_index").alias("subbasin"), F.col("order").alias("stream_order"))
 
 
-def manning(order: DataFrame) -> DataFrame:
-    """Roughness between the greatest order's and the least one's."""
-    ends = order.agg(F.min("stream_order").alias("lo"), F.max("stream_order").alias("hi"))  # one row
+def stream_orders(steps: DataFrame) -> DataFrame:
+    """cell_index, order: Strahler order of each stream cell."""
+    on = steps.filter("is_stream").select("cell_index", F.when(F.col("n_is_stream"), F.col("down")).alias("down"))
+    return contract.contract(on)
+
+
+def manning(steps: DataFrame, order: DataFrame) -> DataFrame:
+    """subbasin, manning: the mean roughness of the runs of one order along the main way, from the inlet to the subbasin's end.
+
+    A run's roughness lies between that of the least order and that of the greatest one of all stream cells; cells without a
+    stream have the least order. A run begins at the inlet, and at each cell whose order is not that of the cell before: so
+    its terms are sums over the steps of the way, which pointer doubling adds up."""
+    ends = order.agg(F.min("order").alias("lo"), F.max("order").alias("hi"))  # one row
     low, high = MANNING
-    share = F.coalesce(F.try_divide(F.col("stream_order") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    return order.crossJoin(F.broadcast(ends)).select("subbasin", "stream_order", (F.lit(high) - (high - low) * share).alias("manning"))
+    of = lambda c: F.lit(high) - (high - low) * F.coalesce(F.try_divide(F.col(c) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    cells = steps.select("cell_index", "subbasin", "n_subbasin", "down").join(order, "cell_index", "left").crossJoin(F.broadcast(ends))
+    own = written(cells.withColumn("order", F.coalesce("order", "lo")))
+    below = own.select(F.col("cell_index").alias("down"), F.col("order").alias("n_order"))
+    way = own.join(below, "down", "left").withColumn("inside", F.coalesce(F.col("subbasin") == F.col("n_subbasin"), F.lit(False)))
+    turn = F.col("inside") & (F.col("order") != F.col("n_order"))
+    sums = flow.jump(way.select("cell_index", F.when(F.col("inside"), F.col("down")).alias("down"), F.when(turn, of("n_order")).otherwise(0.0).alias("rough"), turn.cast("long").alias("runs")), ["rough", "runs"])
+    first = own.select("cell_index", of("order").alias("first"))
+    start = inlets(steps).withColumnRenamed("inlet", "cell_index").join(first, "cell_index").join(sums, "cell_index")
+    mean = (F.col("first") + F.col("rough")) / (F.col("runs") + 1)
+    return start.select("subbasin", F.least(F.greatest(mean, F.lit(low)), F.lit(high)).alias("manning"))
 
 
 def reach_parameter(cells: DataFrame, edges: DataFrame, cell_ha: float, min_length: float, min_slope: float = 0.01) -> DataFrame:
     """The reach table: ids, terms of the main way, zonal terms, order, roughness, receiving reach and constants. cells: cell_index, subbasin, is_stream, dem, acc, width, depth, velocity."""
-    steps = with_next(edges, cells)
+    steps = written(with_next(edges, cells))
     receive = receiving(steps)
     parts = ways(steps, min_length, min_slope).join(zonal_terms(cells, cell_ha), "subbasin").join(receive, "subbasin")
-    parts = parts.join(manning(orders(receive)), "subbasin", "left").fillna({"stream_order": 1, "manning": MANNING[1]})
+    parts = parts.join(orders(receive), "subbasin", "left").fillna({"stream_order": 1})
+    parts = parts.join(manning(steps, stream_orders(steps)), "subbasin", "left").fillna({"manning": MANNING[1]})
     ids = [F.col("subbasin").alias(n) for n in ("reach_id", "subbasin_id", "outlet_id")]
     own = ("length", "width", "depth", "slope", "stream_order", "manning", "velocity", "max_elevation", "min_elevation", "ave_elevation", "contribution_area")
     return parts.select(*ids, *own, F.col("receive").alias("receive_reach_id"), *[F.lit(v).alias(k) for k, v in CONSTANTS.items()])

@@ -92,7 +92,7 @@ def stream_lines(spark, sf_dir):
 STEPS_SQL = """dcells AS (SELECT x.cell_index, x.dem, x.landuse, s.subbasin, a.acc, a.acc * 0.01 >= 0.04 AS is_stream FROM cells x JOIN dsub s USING (cell_index) JOIN dacc a USING (cell_index)),
  dsteps AS (SELECT u.*, p.down, p.dist, v.subbasin AS n_subbasin, v.is_stream AS n_is_stream, v.dem AS n_dem FROM pointer p JOIN dcells u ON p.cell_index = u.cell_index LEFT JOIN dcells v ON p.down = v.cell_index),
  dmain AS (SELECT n_subbasin AS subbasin, arg_max(down, [acc, -down]) AS inlet FROM dsteps WHERE is_stream AND n_is_stream AND subbasin <> n_subbasin GROUP BY n_subbasin),
- dhead AS (SELECT subbasin, arg_min(cell_index, [acc, cell_index]) AS inlet FROM dsteps WHERE is_stream GROUP BY subbasin),
+ dhead AS (SELECT subbasin, coalesce(arg_min(cell_index, [acc, cell_index]) FILTER (is_stream), arg_max(cell_index, [acc, -cell_index])) AS inlet FROM dsteps GROUP BY subbasin),
  dinlet AS (SELECT subbasin, coalesce(m.inlet, h.inlet) AS inlet FROM dhead h LEFT JOIN dmain m USING (subbasin)),
  dreceive AS (SELECT subbasin, arg_max(coalesce(n_subbasin, 0), [acc, -cell_index]) AS receive FROM dsteps WHERE n_subbasin IS NULL OR n_subbasin <> subbasin GROUP BY subbasin)"""
 WAYS_SQL = """dwalk AS (SELECT i.subbasin, i.inlet AS pos, 0 AS k FROM dinlet i UNION ALL SELECT w.subbasin, s.down, w.k + 1 FROM dwalk w JOIN dsteps s ON w.pos = s.cell_index WHERE s.n_subbasin = w.subbasin),
@@ -126,8 +126,9 @@ REACH_COLUMNS = ("length", "width", "depth", "slope", "velocity", "max_elevation
     """SELECT w.subbasin AS reach_id, w.subbasin AS subbasin_id, w.subbasin AS outlet_id, round(w.length, 4) AS length, round(z.width, 4) AS width, round(z.depth, 4) AS depth, round(w.slope, 4) AS slope,
     round(z.velocity, 4) AS velocity, round(z.hi, 4) AS max_elevation, round(z.lo, 4) AS min_elevation, round(z.mean, 4) AS ave_elevation, round(z.area, 4) AS contribution_area, r.receive AS receive_reach_id,
     0.5::DOUBLE AS main_side_slope, 5.0::DOUBLE AS w_ratio, 0.5::DOUBLE AS bank_Ero_frac FROM dway w JOIN dreceive r USING (subbasin) JOIN
-    (SELECT subbasin, greatest(avg(pow(acc * 0.0001 * 1.0, 0.56)) FILTER (is_stream), 0.1) AS width, greatest(avg(pow(acc * 0.0001 * 0.04, 0.45)) FILTER (is_stream), 0.1) AS depth,
-    avg(pow(acc * 0.0001 * 0.04, 0.45) / (landuse * 0.05)) FILTER (is_stream) AS velocity, max(dem) FILTER (is_stream) AS hi, min(dem) FILTER (is_stream) AS lo, avg(dem) FILTER (is_stream) AS mean,
+    (SELECT subbasin, greatest(avg(pow(acc * 0.0001 * 1.0, 0.56)) FILTER (is_stream), 0.1::DOUBLE) AS width, greatest(avg(pow(acc * 0.0001 * 0.04, 0.45)) FILTER (is_stream), 0.1::DOUBLE) AS depth,
+    coalesce(avg(pow(acc * 0.0001 * 0.04, 0.45) / (landuse * 0.05)) FILTER (is_stream), avg(pow(acc * 0.0001 * 0.04, 0.45) / (landuse * 0.05))) AS velocity,
+    coalesce(max(dem) FILTER (is_stream), max(dem)) AS hi, coalesce(min(dem) FILTER (is_stream), min(dem)) AS lo, coalesce(avg(dem) FILTER (is_stream), avg(dem)) AS mean,
     max(acc) * 0.01 AS area FROM dcells GROUP BY subbasin) z USING (subbasin)""",
     *CHAIN, STEPS_SQL, WAYS_SQL,
 )
@@ -141,11 +142,33 @@ def reach_parameter(spark, sf_dir):
     return made.select("reach_id", "subbasin_id", "outlet_id", *terms, "receive_reach_id", "main_side_slope", "w_ratio", "bank_Ero_frac")
 
 
-@query()
+#: Strahler orders of stream cells by passes from the headwaters, and those along each reach's main way.
+ORDERS_SQL = """son AS (SELECT cell_index, CASE WHEN n_is_stream THEN down END AS down FROM dsteps WHERE is_stream),
+ sneed AS (SELECT down AS cell_index, count(*) AS need FROM son WHERE down IS NOT NULL GROUP BY down),
+ sorder(cell_index, o) USING KEY (cell_index) AS (SELECT cell_index, 1 FROM son WHERE cell_index NOT IN (SELECT cell_index FROM sneed) UNION
+ SELECT x.down, max(x.o) + CASE WHEN count(*) FILTER (x.o = x.m) >= 2 THEN 1 ELSE 0 END FROM (SELECT p.down, u.o, max(u.o) OVER (PARTITION BY p.down) AS m, count(*) OVER (PARTITION BY p.down) AS have
+ FROM recurring.sorder u JOIN son p ON u.cell_index = p.cell_index WHERE p.down IS NOT NULL) x JOIN sneed n ON n.cell_index = x.down
+ WHERE x.have = n.need AND x.down NOT IN (SELECT cell_index FROM recurring.sorder) GROUP BY x.down),
+ sall AS (SELECT d.cell_index, coalesce(s.o, 1) AS o FROM dsteps d LEFT JOIN sorder s USING (cell_index)),
+ sends AS (SELECT min(o) AS lo, max(o) AS hi FROM sorder),
+ swalk AS (SELECT w.subbasin, w.k, s.o, lag(s.o) OVER (PARTITION BY w.subbasin ORDER BY w.k) AS last FROM dwalk w JOIN sall s ON s.cell_index = w.pos)"""
+
+
+@query(
+    """SELECT w.subbasin, o.stream_order, round(least(greatest(avg(0.1 - 0.06 * coalesce((w.o - e.lo) / nullif(e.hi - e.lo, 0), 0)), 0.04), 0.1), 6) AS manning FROM swalk w, sends e, rorder o
+ WHERE o.subbasin = w.subbasin AND (w.last IS NULL OR w.last <> w.o) GROUP BY w.subbasin, o.stream_order""",
+    *CHAIN, STEPS_SQL, WAYS_SQL, ORDERS_SQL,
+    """rorder(subbasin, stream_order) USING KEY (subbasin) AS (SELECT subbasin, 1 FROM dreceive WHERE subbasin NOT IN (SELECT receive FROM dreceive) UNION
+ SELECT x.receive, max(x.o) + CASE WHEN count(*) FILTER (x.o = x.m) >= 2 THEN 1 ELSE 0 END FROM (SELECT p.receive, u.stream_order AS o, max(u.stream_order) OVER (PARTITION BY p.receive) AS m, count(*) OVER (PARTITION BY p.receive) AS have
+ FROM recurring.rorder u JOIN dreceive p ON u.subbasin = p.subbasin WHERE p.receive > 0) x JOIN (SELECT receive, count(*) AS need FROM dreceive GROUP BY receive) n ON n.receive = x.receive
+ WHERE x.have = n.need AND x.receive NOT IN (SELECT subbasin FROM recurring.rorder) GROUP BY x.receive)""",
+)
 def reach_manning(spark, sf_dir):
-    """Order and roughness of the delineated reaches."""
+    """Order of the delineated reaches, and the roughness along their main ways."""
     c, edges = delineated(spark, sf_dir)
-    return reach.manning(reach.orders(reach.receiving(reach.with_next(edges, c)))).withColumn("manning", F.round("manning", 6))
+    steps = written(reach.with_next(edges, c))
+    rough = reach.manning(steps, reach.stream_orders(steps)).withColumn("manning", F.round("manning", 6))
+    return rough.join(reach.orders(reach.receiving(steps)), "subbasin").select("subbasin", "stream_order", "manning")
 
 
 @query(

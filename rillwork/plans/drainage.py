@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flow, grid, relations
+from ..operators import contract, flow, grid, relations
 from ..sources.views import CELL_M, CELLS, COLS, REACHES, cells, reaches, table
 from .registry import query
 
@@ -15,6 +15,12 @@ PATHS = "paths AS (SELECT cell_index, cell_index AS pos, 0 AS steps, 0.0::DOUBLE
 GRID = (CELLS, STEPS, POINTER)
 
 
+def network(spark, sf_dir):
+    """The reaches as a graph: cell_index, down (null where water leaves the basin)."""
+    r = reaches(spark, sf_dir)
+    return r.select(F.col("reach").alias("cell_index"), F.when(F.col("receive") > 0, F.col("receive")).alias("down"))
+
+
 def edges(spark, sf_dir):
     return grid.flow_edges(cells(spark, sf_dir), CELL_M, COLS)
 
@@ -225,8 +231,17 @@ def wascob_chain(spark, sf_dir):
  FROM recurring.up u JOIN reaches p ON u.reach = p.reach WHERE p.receive > 0) WHERE have = need AND receive NOT IN (SELECT reach FROM recurring.up) GROUP BY receive)""",
 )
 def strahler_order(spark, sf_dir):
-    """Peeled level by level over the reach network."""
-    r = reaches(spark, sf_dir)
-    return flow.strahler(r.select(F.col("reach").alias("cell_index"), F.when(F.col("receive") > 0, F.col("receive")).alias("down"))).select(F.col("cell_index").alias("reach"), F.col("order").alias("stream_order"))
+    """By rake and compress over the reach network."""
+    return contract.contract(network(spark, sf_dir)).select(F.col("cell_index").alias("reach"), F.col("order").alias("stream_order"))
 
 
+@query(
+    """SELECT r.reach, d.depth, h.height FROM reaches r JOIN (SELECT r.reach, CAST(coalesce(max(b.rank), 0) AS BIGINT) AS depth FROM reaches r LEFT JOIN below b ON r.reach = b.node AND b.below > 0 GROUP BY r.reach) d ON r.reach = d.reach
+ JOIN (SELECT r.reach, CAST(coalesce(max(b.rank), 0) + 1 AS INTEGER) AS height FROM reaches r LEFT JOIN below b ON r.reach = b.below GROUP BY r.reach) h ON r.reach = h.reach""",
+    REACHES, BELOW,
+)
+def network_order(spark, sf_dir):
+    """Both directions of the network's levels: steps down to the outlet, and the longest way up to a headwater."""
+    e = network(spark, sf_dir)
+    up = contract.contract(e, contract.Height, "height")
+    return flow.jump(e, []).select("cell_index", F.col("steps").alias("depth")).join(up, "cell_index").select(F.col("cell_index").alias("reach"), "depth", "height")

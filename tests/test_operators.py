@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import checks, flow, raster, relations, weights
+from rillwork.operators import checks, contract, flow, raster, relations, weights
 from rillwork.operators import grid as grid_ops
 from rillwork.streaming.readings import reading_stream, upsert, windowed_sums
 
@@ -32,12 +32,6 @@ def test_jump_and_tree_against_loops(spark, seed):
         assert up[i].longest == max(sum(w[x] for x in p[: p.index(i)]) for p in above)
 
 
-def test_strahler(spark):
-    rows = [(1, None), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 3), (8, 4)]
-    got = {r.cell_index: r.order for r in flow.strahler(spark.createDataFrame(rows, "cell_index long, down long")).collect()}
-    assert got == {8: 1, 5: 1, 6: 1, 7: 1, 4: 1, 2: 2, 3: 2, 1: 3}
-
-
 def test_closure_ranks(spark):
     rows = [(i, i - 1) for i in range(1, 12)]
     got = {(r.node, r.below, r["rank"]) for r in flow.closure(spark.createDataFrame(rows, "reach long, receive long"), "reach", "receive").collect()}
@@ -82,7 +76,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_cycles_are_errors(spark):
     table = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, None, 1.0)], "cell_index long, down long, dist double")
-    for run in (lambda: flow.jump(table, ["dist"]), lambda: flow.tree(table, ["dist"]), lambda: flow.strahler(table), lambda: flow.closure(table, "cell_index", "down")):
+    for run in (lambda: flow.jump(table, ["dist"]), lambda: flow.tree(table, ["dist"]), lambda: contract.contract(table), lambda: flow.closure(table, "cell_index", "down")):
         with pytest.raises(RuntimeError):
             run()
 
