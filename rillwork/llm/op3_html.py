@@ -3,8 +3,8 @@
 A page is cut into blocks. Blocks inside an article element are its content, but for parts that are navigation, forms,
 notices and the like by their tag, role, class or id; if a page has such an element, its text is these blocks whole, even
 where other articles repeat them, and all else is left out. In pages without one, markup only hints: blocks of navigation,
-headers, footers, asides, forms and scripts go, and so do blocks that are mostly links, and short loose ones beside such.
-All other blocks the host's suffix array decides: substrings of MIN_TOKENS tokens or more that distinct pages repeat are
+headers, footers, asides, forms and scripts go, and so do blocks that are mostly links. No block goes for its length. If
+nothing else is left, blocks that only a class or id puts out are what the page has to say. All other blocks the host's suffix array decides: substrings of MIN_TOKENS tokens or more that distinct pages repeat are
 boilerplate, the tokens they cover go, and the unique runs stay.
 
 The streams of a host are the tokens of all blocks outside articles, page by page. A host of any size is split: each task
@@ -13,7 +13,8 @@ prefix doubling, with the common prefixes of neighbours (LCP). An interval of th
 MIN_TOKENS tokens or more is a repeated substring; its number of distinct pages, under the hash of its first MIN_TOKENS
 tokens, is all that leaves the task, and the parts of a host meet in one aggregation with map-side combine. A longer
 substring that pages repeat is covered by such prefixes from its first token to its last, so what they cover are the long
-substrings. Pages that are copies as a whole aren't distinct.
+substrings. Pages of a host that are copies as a whole are one page: all but one of them are left out before the arrays are
+built, so the counts of the parts add up to the same however the rows are dealt.
 
 Cases: null html is an empty page (text ''). Pages of an unreadable url share the host ''. Text copied in several articles
 stays. Unclosed tags end with their parent. Rows with equal ids keep a row each, unless they are equal in id, url and html,
@@ -42,9 +43,8 @@ MIN_SHARE = 0.01
 MANY_PAGES = 20
 #: Tokens of a suffix array at most, but for a longer page.
 ARRAY_TOKENS = 1 << 19
-#: Share of characters in links from which on a block is a menu, and characters up to which a block outside of paragraphs, headings and lists is loose.
+#: Share of characters in links from which on a block is a menu.
 LINKED = 0.8
-LOOSE = 160
 SALTS = 16
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*>""", re.S)
@@ -61,11 +61,7 @@ DROP_TAGS = frozenset("nav footer aside form head dialog menu button fieldset".s
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation navi newsletter notice notices notification notifications overlay pager pagination paywall popup privacy promo promoted promotion related replies reply respond responses rail search share sharing sidebar sidenav signup skip skyscraper social sponsor sponsored subscribe subscription tagcloud teaser toast toolbar topbar tracking widget widgets".split())
 HEADERS = frozenset(["header"])
-#: Elements that hold running text; a block in another one is loose if it is short.
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th caption figcaption".split())
 MAIN, OPEN, OUT, ARTICLE, NAMED, AWAY = "main", "open", "out", "article", "named", "away"
-#: Characters of text in elements named like notices and the like from which on a page with no other text is taken to be them.
-LEAST_AWAY = 400
 
 
 def marks(tag: str, attributes: str) -> str:
@@ -95,16 +91,14 @@ def marks(tag: str, attributes: str) -> str:
 
 
 class Page:
-    """Blocks of a page in order: (kind, text, share of its characters in links, whether it is in an element of running
-    text). kind: ARTICLE, MAIN, OPEN, OUT or, for parts that only their class or id puts out, NAMED in an article and AWAY
-    elsewhere."""
+    """Blocks of a page in order: (kind, text, share of its characters in links). kind: ARTICLE, MAIN, OPEN, OUT or, for
+    parts that only their class or id puts out, NAMED in an article and AWAY elsewhere."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, str, float, bool]] = []
+        self.blocks: list[tuple[str, str, float]] = []
         self.pieces: list[str] = []
         self.linked = self.in_link = 0
         self.kind = OPEN
-        self.holder = ""
         stack: list[tuple[str, str]] = []
         at, n = 0, len(source)
         while at < n:
@@ -123,8 +117,6 @@ class Page:
                 if tag in BLOCK:
                     self.end_block()
                 self.close(stack, tag)
-                if tag in BLOCK:
-                    self.holder = next((t for t, _ in reversed(stack) if t in BLOCK), "")
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
@@ -138,8 +130,6 @@ class Page:
                     self.kind = stack.pop()[1]
             if tag in VOID:
                 continue
-            if tag in BLOCK:
-                self.holder = tag
             mark = marks(tag, m[3] or "")
             if tag in BLOCK or mark:
                 if mark and tag not in BLOCK:
@@ -180,7 +170,7 @@ class Page:
             words = "".join(self.pieces).split()
             if words:
                 text = " ".join(words)
-                self.blocks.append((self.kind, text, self.linked / len(text), self.holder in TEXT_TAGS))
+                self.blocks.append((self.kind, text, self.linked / len(text)))
             self.pieces.clear()
         self.linked = 0
 
@@ -199,11 +189,7 @@ def zones(source: str) -> tuple[str | None, list[str], list[str], int]:
         return " ".join(own), stream, [], whole
     kind = MAIN if any(b[0] == MAIN for b in blocks) else OPEN
     out = [b[0] != kind or b[2] >= LINKED for b in blocks]
-    loose = [not b[3] and len(b[1]) <= LOOSE and any(out[max(0, i - 1) : i + 2]) for i, b in enumerate(blocks)]
-    left = [b[1] for b, gone, short in zip(blocks, out, loose) if not gone and not short]
-    left = left or [b[1] for b, gone in zip(blocks, out) if not gone]
-    away = [b[1] for b in blocks if b[0] == AWAY and b[2] < LINKED]
-    left = left or (away if sum(map(len, away)) >= LEAST_AWAY else [])
+    left = [b[1] for b, gone in zip(blocks, out) if not gone] or [b[1] for b in blocks if b[0] == AWAY and b[2] < LINKED]
     return None if left else "", stream, left, whole
 
 
@@ -362,11 +348,15 @@ def main_texts(
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^\w+://([^/?#:]+)", 1)), F.lit("")).alias("host")
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), *row_keys(id_col, url_col, html_col), host, F.col(html_col).cast("string").alias("html"))
-    parsed = materialise(given.mapInArrow(_parse, PARSED.format(id=kind)))
+    parsed = materialise(given.mapInArrow(_parse, PARSED.format(id=kind)).withColumn("row", F.monotonically_increasing_id()))
     settled = parsed.filter("text is not null").select("page_id", "url", "text", F.lit(None).cast("long").alias("n_covered"))
     left = parsed.filter("text is null").select("page_id", "url", "k1", "k2", "host", "open")
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("n_host"))
-    arrays = parsed.select("host", "stream", "whole").mapInArrow(_host_arrays(min_tokens), "host string, h long, n long, least long, most long")
+    # Of a host's pages that are copies as a whole one counts; most pages have none, so only those that have are looked up.
+    copies = parsed.groupBy("host", "whole").agg(F.count("*").alias("n"), F.min("row").alias("kept")).filter("n > 1").drop("n")
+    again = materialise(parsed.select("host", "whole", "row").join(copies, ["host", "whole"]).filter("row <> kept").select("row"))
+    distinct = parsed.join(again, "row", "left_anti")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("n_host"))
+    arrays = distinct.select("host", "stream", "whole").mapInArrow(_host_arrays(min_tokens), "host string, h long, n long, least long, most long")
     runs = arrays.groupBy("host", "h").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     often = runs.filter((F.col("n") >= min_pages) & (F.col("least") < F.col("most"))).join(hosts, "host")
     repeated = materialise(often.filter((F.col("n") >= F.col("n_host") * min_share) | (F.col("n") >= many_pages)).select("host", "h"))
