@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day
-from ..operators import relations, rotation
+from ..operators import distance, relations, rotation
 from ..sources.views import CELLS, REACHES, SEASONS, cells, reaches, seasons, table
 from .registry import query
 
@@ -113,10 +113,9 @@ def bmp_scenarios(spark, sf_dir):
 
 @query("SELECT DISTINCT a.cell_index, a.field FROM cells a JOIN cells b ON abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 4 WHERE a.slope_deg > 20 AND a.landuse IN (1, 2) AND b.landuse = 5 AND b.soil = 'P'", CELLS)
 def marginal_land(spark, sf_dir):
-    """Steep crop cells within two cells of other land: the buffer is a stencil of 13 cells, so an equi-join."""
+    """Steep crop cells within two cells of other land."""
     c = cells(spark, sf_dir)
-    disk = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4]))
-    near = c.filter("landuse = 5 and soil = 'P'").select("r", "c", disk.alias("d")).select((F.col("r") + F.col("d.i")).alias("r"), (F.col("c") + F.col("d.j")).alias("c")).distinct()
+    near = distance.buffer(c, c.filter("landuse = 5 and soil = 'P'"), 2)
     return c.filter("slope_deg > 20 and landuse in (1, 2)").join(near, ["r", "c"], "left_semi").select("cell_index", "field")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flood, raster, structures
+from ..operators import delineation, distance, flood, raster, rings, structures
 from ..sources.views import CELLS, COLS, cells, table
 from .drainage import STEPS
 from .registry import query
@@ -89,3 +89,38 @@ def rasterise_polygons(spark, sf_dir):
 @query("SELECT s_suppkey AS id, CAST((s_suppkey % 5 * 10 + 20) * (s_suppkey % 5 * 10 + 20) AS DOUBLE) AS area FROM supplier")
 def polygon_areas(spark, sf_dir):
     return squares(spark, sf_dir).select("id", raster.polygon_area().alias("area"))
+
+
+@query(
+    "SELECT a.cell_index, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))::BIGINT AS d2 FROM cells a, (SELECT r, c FROM cells WHERE landuse = 5 AND soil = 'P') b GROUP BY a.cell_index",
+    CELLS,
+)
+def distance_to_land(spark, sf_dir):
+    """Squared distance of every cell to the nearest cell of a kind, at any radius."""
+    c = cells(spark, sf_dir)
+    found = distance.distance_to_set(c, c.filter("landuse = 5 and soil = 'P'"))
+    return found.select((F.col("r") * COLS + F.col("c")).alias("cell_index"), "d2")
+
+
+#: Sides of cells to other regions as edges from corner to corner, each with the next one, and those that each leads to.
+EDGES = """sideof(k, dx, dy, d, sr, sc, er, ec) AS (VALUES (7, 0, -1, 0, 0, 0, 0, 1), (1, 1, 0, 1, 0, 1, 1, 1), (3, 0, 1, 2, 1, 1, 1, 0), (5, -1, 0, 3, 1, 0, 0, 0)),
+ tied AS (SELECT a.cell_index AS a, b.cell_index AS b FROM cells a, steps s, cells b WHERE b.r = a.r + s.dy AND b.c = a.c + s.dx AND a.texture = b.texture),
+ near AS (SELECT cell_index AS a, cell_index AS b FROM cells UNION SELECT j.a, s.b FROM near j JOIN tied s ON j.b = s.a),
+ region AS (SELECT a AS cell_index, min(b) AS region FROM near GROUP BY a),
+ grid AS (SELECT r, c, region FROM cells JOIN region USING (cell_index)),
+ edge AS (SELECT g.region, (g.r + sr) * 129 + g.c + sc AS start, (g.r + er) * 129 + g.c + ec AS stop, d FROM grid g CROSS JOIN sideof s LEFT JOIN grid h ON h.r = g.r + dy AND h.c = g.c + dx WHERE h.region IS DISTINCT FROM g.region),
+ onward AS (SELECT e.start * 4 + e.d AS e, e.region, e.start, e.stop, e.d, arg_min(n.start * 4 + n.d, (n.d - e.d + 5) % 4) AS next, arg_min(n.d, (n.d - e.d + 5) % 4) AS turn
+ FROM edge e JOIN edge n ON n.start = e.stop AND n.region = e.region GROUP BY ALL),
+ around AS (SELECT e, next AS pos FROM onward UNION SELECT a.e, o.next FROM around a JOIN onward o ON a.pos = o.e),
+ ring AS (SELECT e, min(pos) AS ring FROM around GROUP BY e)"""
+
+
+@query(
+    """SELECT region, ring, sum(CAST(turn <> d AS INTEGER))::BIGINT AS n_corners, sum((start % 129) * (stop // 129) - (stop % 129) * (start // 129)) / 2 AS area FROM onward JOIN ring USING (e) GROUP BY region, ring""",
+    CELLS, STEPS, EDGES,
+)
+def region_rings(spark, sf_dir):
+    """The rings of the raster's regions, with their corners and areas; holes are negative."""
+    c = cells(spark, sf_dir)
+    own = c.select("r", "c", "cell_index").join(delineation.regions(c, "texture"), "cell_index")
+    return rings.ring_areas(rings.rings(own, "region", COLS), COLS)
