@@ -102,6 +102,48 @@ def distance_to_land(spark, sf_dir):
     return found.select((F.col("r") * COLS + F.col("c")).alias("cell_index"), "d2")
 
 
+def trails(spark, sf_dir):
+    """A line of three points for each supplier."""
+    x, y, d = F.col("s_suppkey") * 37 % 1000 * 1.0, F.col("s_suppkey") * 91 % 1000 * 1.0, F.col("s_suppkey") % 7 * 30 - 80.0
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(at(x, y), at(x + d, y + 140), at(x + 90, y + d)).alias("line"))
+
+
+#: The cells of segments from (x1, y1) to (x2, y2), by their number along the segment.
+PASSED = """ends AS (SELECT id, floor(y1 / 10) AS r, floor(x1 / 10) AS c, floor(y2 / 10) - floor(y1 / 10) AS dr, floor(x2 / 10) - floor(x1 / 10) AS dc FROM seg),
+ along AS (SELECT *, greatest(abs(dr), abs(dc)) AS n, unnest(range(0, CAST(greatest(abs(dr), abs(dc)) AS BIGINT) + 1)) AS i FROM ends),
+ passed AS (SELECT DISTINCT id, CAST(r + CASE WHEN n = 0 THEN 0 ELSE sign(dr) * floor((2 * i * abs(dr) + n) / (2 * n)) END AS INTEGER) AS r,
+ CAST(c + CASE WHEN n = 0 THEN 0 ELSE sign(dc) * floor((2 * i * abs(dc) + n) / (2 * n)) END AS INTEGER) AS c FROM along)"""
+TRAILS = """trail AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 1000)::DOUBLE AS x, (s_suppkey * 91 % 1000)::DOUBLE AS y, (s_suppkey % 7 * 30 - 80)::DOUBLE AS d FROM supplier),
+ seg AS (SELECT id, x AS x1, y AS y1, x + d AS x2, y + 140 AS y2 FROM trail UNION ALL SELECT id, x + d, y + 140, x + 90, y + d FROM trail)"""
+SQUARES = """box AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 1000)::DOUBLE AS x, (s_suppkey * 91 % 1000)::DOUBLE AS y, (s_suppkey % 5 * 10 + 20)::DOUBLE AS d FROM supplier),
+ seg AS (SELECT id, x AS x1, y AS y1, x + d AS x2, y AS y2 FROM box UNION ALL SELECT id, x + d, y, x + d, y + d FROM box
+ UNION ALL SELECT id, x + d, y + d, x, y + d FROM box UNION ALL SELECT id, x, y + d, x, y FROM box)"""
+
+
+@query("SELECT id, r, c FROM passed", TRAILS, PASSED)
+def rasterise_lines(spark, sf_dir):
+    """The cells that lines pass."""
+    return raster.rasterise_lines(trails(spark, sf_dir), 10.0)
+
+
+@query("SELECT f.a, p.id AS b, count(*) AS n FROM passed p JOIN (SELECT r, c, min(id) AS a FROM passed GROUP BY r, c) f USING (r, c) WHERE p.id <> f.a GROUP BY f.a, p.id", SQUARES, PASSED)
+def border_conflicts(spark, sf_dir):
+    """Polygons whose edges pass cells that an earlier polygon's edge owns."""
+    return raster.border_conflicts(squares(spark, sf_dir), 10.0)
+
+
+@query(
+    """SELECT r, c, id, border FROM (SELECT r, c, min(id) AS id, TRUE AS border FROM passed GROUP BY r, c UNION ALL
+    SELECT i.r, i.c, min(i.id), FALSE FROM (SELECT id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM box, (SELECT unnest(range(0, 110)) AS r), (SELECT unnest(range(0, 110)) AS c)
+    WHERE r * 10 + 5 >= y AND r * 10 + 5 < y + d AND c * 10 + 5 >= x AND c * 10 + 5 < x + d) i WHERE (i.r, i.c) NOT IN (SELECT (r, c) FROM passed) GROUP BY i.r, i.c)""",
+    SQUARES, PASSED,
+)
+def bordered_raster(spark, sf_dir):
+    """Polygons with their border cells, which their owners keep from what lies over them."""
+    return raster.bordered(squares(spark, sf_dir), 10.0)
+
+
 #: Sides of cells to other regions as edges from corner to corner, each with the next one, and those that each leads to.
 EDGES = """sideof(k, dx, dy, d, sr, sc, er, ec) AS (VALUES (7, 0, -1, 0, 0, 0, 0, 1), (1, 1, 0, 1, 0, 1, 1, 1), (3, 0, 1, 2, 1, 1, 1, 0), (5, -1, 0, 3, 1, 0, 0, 0)),
  tied AS (SELECT a.cell_index AS a, b.cell_index AS b FROM cells a, steps s, cells b WHERE b.r = a.r + s.dy AND b.c = a.c + s.dx AND a.texture = b.texture),

@@ -50,12 +50,19 @@ def test_weights_sum_to_one(spark):
 
 
 def test_borders(spark):
-    assert list(raster.line_cells(0, 0, 3, 1)) == [(0, 0), (0, 1), (1, 2), (1, 3)]
+    line = spark.createDataFrame([(1, [(0.5, 0.5), (3.5, 1.5)]), (2, [(5.0, 5.0)]), (3, [(2.0, 4.0), (2.0, 1.0)])], "id long, line array<struct<x:double,y:double>>")
+    got = {(r.id, r.r, r.c) for r in raster.rasterise_lines(line, 1.0).collect()}
+    assert got == {(1, 0, 0), (1, 0, 1), (1, 1, 2), (1, 1, 3), (3, 4, 2), (3, 3, 2), (3, 2, 2), (3, 1, 2)}
     ring = [{"x": 0.0, "y": 0.0}, {"x": 20.0, "y": 0.0}, {"x": 20.0, "y": 20.0}, {"x": 0.0, "y": 20.0}]
     table = spark.createDataFrame([(1, ring), (2, ring)], "id long, ring array<struct<x:double,y:double>>")
     got = raster.borders(table, 10.0).collect()
     assert len(got) == 8 and all((r.id, r.owners) == (1, 2) for r in got)
     assert table.select(raster.polygon_area().alias("a")).first().a == 400.0
+    assert [tuple(r) for r in raster.border_conflicts(table, 10.0).collect()] == [(1, 2, 8)]
+    hole = spark.createDataFrame([(1, [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)], [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0)]])], "id long, rings array<array<struct<x:double,y:double>>>")
+    for band in (2, 512):
+        got = {(r.r, r.c) for r in raster.rasterise(hole, 1.0, band).collect()}
+        assert len(got) == 72 and (4, 4) not in got and (0, 0) in got
 
 
 def test_pivot_and_issues(spark):
