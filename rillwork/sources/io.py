@@ -137,9 +137,12 @@ def insert_rows(spark: SparkSession, rows: list[dict], name: str) -> None:
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """id and ring (x, y) of polygons in a text file of id and WKT, tab-separated; a polygon's first ring counts."""
-    rows = spark.read.csv(path, sep="\t", schema="id long, wkt string").filter(F.col("wkt").startswith("POLYGON"))
-    return rows.select("id", _coordinates(F.regexp_extract("wkt", r"\(\(([^)]*)\)", 1)).alias("ring"))
+    """id, ring (the outer one) and rings (all, holes included, each an array of x, y) of polygons in a text file of id and
+    WKT, tab-separated. Each part of a MULTIPOLYGON is a row."""
+    rows = spark.read.csv(path, sep="\t", schema="id long, wkt string").filter(F.col("wkt").rlike(r"^\s*(MULTI)?POLYGON"))
+    parts = rows.select("id", F.explode(F.regexp_extract_all("wkt", F.lit(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"), F.lit(1))).alias("part"))
+    rings = F.transform(F.regexp_extract_all("part", F.lit(r"\(([^()]*)\)"), F.lit(1)), _coordinates)
+    return parts.select("id", rings.alias("rings")).select("id", F.get("rings", F.lit(0)).alias("ring"), "rings")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -195,3 +198,29 @@ def ingest(spark: SparkSession, project, database: str) -> list[str]:
         save_table(df, f"{database}.{CANONICAL.get(name, name)}")
         made.append(CANONICAL.get(name, name))
     return made
+
+
+def save_grid(cells: DataFrame, path: str, band: int = 256) -> None:
+    """Cells (r, c and rasters) as a store by bands of rows, in each sorted by c, so that a window reads few row groups."""
+    rows = cells.withColumn("band", F.floor(F.col("r") / band).cast("int"))
+    rows.repartition("band").sortWithinPartitions("band", "c", "r").write.mode("overwrite").partitionBy("band").parquet(path)
+
+
+def read_window(spark: SparkSession, path: str, columns: list[str], box: tuple[int, int, int, int] | None = None, band: int = 256) -> DataFrame:
+    """r, c and the columns of a grid store inside a box (first row, first column, last row, last column). The bands are partitions,
+    rows and columns are filters that the scan takes, and only the columns asked for are read."""
+    own = spark.read.parquet(path)
+    if box:
+        r1, c1, r2, c2 = box
+        own = own.filter(F.col("band").between(r1 // band, r2 // band) & F.col("r").between(r1, r2) & F.col("c").between(c1, c2))
+    return own.select("r", "c", *columns)
+
+
+def raster(spark: SparkSession, database: str, name: str, path: str | None = None) -> DataFrame:
+    """A raster's cells (r, c, value): the catalogue's table if there is one, whatever the case of its name, else the file; an error without both."""
+    held = {t.name.lower(): t.name for t in spark.catalog.listTables(database)} if spark.catalog.databaseExists(database) else {}
+    if name.lower() in held:
+        return spark.table(f"{database}.{held[name.lower()]}")
+    if not path:
+        raise LookupError(f"neither a table {database}.{name} nor a file")
+    return read_ascii_grid(spark, path)[0]

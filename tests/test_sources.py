@@ -1,6 +1,7 @@
 import pytest
 
 from rillwork.engine import Engine
+from rillwork.operators import raster
 from rillwork.sources import config, io, schemas
 from rillwork.sources.views import CELL_M, COLS, cells
 
@@ -114,3 +115,37 @@ def test_only_what_changed_is_built(spark, tmp_path):
     moved = point.selectExpr("id", "cell_index + 1 as cell_index", "operation", "table_name")
     assert run(c.selectExpr("* except (landuse)", "if(cell_index = 3, 4 - landuse, landuse) as landuse"), point_source=moved) == ["point_source", "reach_bmp"]
     spark.sql("DROP DATABASE rill_u CASCADE")
+
+
+def test_polygons_keep_their_holes(spark, tmp_path):
+    (tmp_path / "shapes.tsv").write_text(
+        "1\tPOLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))\n2\tMULTIPOLYGON (((20 0, 22 0, 22 2, 20 2)), ((30 0, 33 0, 33 3, 30 3), (31 1, 32 1, 32 2, 31 2)))\n3\tPOINT (1 1)\n"
+    )
+    shapes = io.read_polygons(spark, str(tmp_path / "shapes.tsv"))
+    assert sorted((r.id, len(r.rings)) for r in shapes.collect()) == [(1, 2), (2, 1), (2, 2)]
+    cells_of = raster.rasterise(shapes, 1.0).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in cells_of} == {1: 72, 2: 4 + 8}
+
+
+def test_windows_of_a_grid_store(spark, tmp_path, capsys):
+    c = cells(spark, "/root/testdata/sf0.001")
+    io.save_grid(c.select("r", "c", "dem", "soil", "texture"), str(tmp_path / "grid"), 4)
+    own = io.read_window(spark, str(tmp_path / "grid"), ["dem"], (3, 10, 6, 40), 4)
+    want = c.filter("r between 3 and 6 and c between 10 and 40").select("r", "c", "dem")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect())) and own.count() == 4 * 31
+    own.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(band" in plan and "GreaterThanOrEqual(r,3)" in plan and "LessThanOrEqual(c,40)" in plan
+    assert "ReadSchema: struct<r:int,c:int,dem:" in plan and "soil" not in plan
+    assert io.read_window(spark, str(tmp_path / "grid"), ["soil"], band=4).count() == c.count()
+
+
+def test_a_raster_is_a_table_or_a_file(spark, tmp_path):
+    (tmp_path / "dem.asc").write_text("ncols 1\nnrows 1\nxllcorner 0\nyllcorner 0\ncellsize 10\nNODATA_value -9999\n7\n")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS rill_r LOCATION '{tmp_path}/db'")
+    io.save_table(spark.createDataFrame([(0, 0, 3.0)], "r int, c int, value double"), "rill_r.DEM")
+    assert io.raster(spark, "rill_r", "Dem", "nowhere").first().value == 3.0
+    assert io.raster(spark, "rill_r", "soil", f"file://{tmp_path}/dem.asc").first().value == 7.0
+    with pytest.raises(LookupError):
+        io.raster(spark, "rill_none", "soil")
+    spark.sql("DROP DATABASE rill_r CASCADE")
