@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import flow
+from . import flow, weights
 from .grid import STEPS, neighbour_values, rank_rows
 
 
@@ -34,6 +34,18 @@ def merge_pour_points(sources: dict[str, DataFrame]) -> DataFrame:
     return every.groupBy("cell_index").agg(F.min(F.struct("k", "source")).alias("b")).select("cell_index", "b.source")
 
 
+def pour_points(
+    edges: DataFrame, streams: DataFrame, snapped: dict[str, DataFrame], placed: dict[str, DataFrame], radius: int, cols: int, skip: DataFrame | None = None,
+) -> DataFrame:
+    """cell_index and source of the pour points of all sources, in the order given: the streams' ends; points (point_id, pr, pc)
+    that go to the nearest stream cell within the radius, and not at all if there is none (outlets, structures of reaches,
+    wascobs); and cells that are outlets already (tile drains, structures). streams: cell_index. skip: cells of structures,
+    where streams have no ends."""
+    own = streams.select(F.floor(F.col("cell_index") / cols).alias("r"), (F.col("cell_index") % cols).alias("c"))
+    moved = {name: weights.snap(points, own, radius).select((F.col("r") * cols + F.col("c")).alias("cell_index")) for name, points in snapped.items()}
+    return merge_pour_points({"streams": stream_ends(edges, streams, skip), **moved, **{n: df.select("cell_index") for n, df in placed.items()}})
+
+
 def watersheds(edges: DataFrame, points: DataFrame) -> DataFrame:
     """cell_index and outlet: the first pour point downstream, the cell itself included; NULL where the way meets none."""
     e = flow.until(edges.select("cell_index", "down"), points)

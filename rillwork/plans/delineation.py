@@ -65,6 +65,29 @@ def delineation_pour_points(spark, sf_dir):
     return pour_points_of(spark, sf_dir, *flow_of(spark, sf_dir))
 
 
+#: Points beside the streams, each with the stream cell that it goes to.
+ASIDE = """aside AS (SELECT 1 AS k, s_suppkey AS id, s_suppkey * 13 % 118 AS pr, s_suppkey * 29 % 128 AS pc FROM supplier UNION ALL SELECT 2, n_nationkey, n_nationkey * 17 % 118, n_nationkey * 23 % 128 FROM nation
+ UNION ALL SELECT 3, r_regionkey, r_regionkey * 19 % 118, r_regionkey * 27 % 128 FROM region UNION ALL SELECT 4, p_partkey, p_partkey * 11 % 118, p_partkey * 7 % 128 FROM part),
+ moved AS (SELECT k, id, arg_min(cell_index, [(pr - cell_index // 128) * (pr - cell_index // 128) + (pc - cell_index % 128) * (pc - cell_index % 128), cell_index]) AS cell_index FROM aside, dstream
+ WHERE (pr - cell_index // 128) * (pr - cell_index // 128) + (pc - cell_index % 128) * (pc - cell_index % 128) <= 25 GROUP BY k, id)"""
+
+
+@query(
+    """SELECT cell_index, ['streams', 'outlets', 'point_sources', 'reservoirs', 'wascobs', 'tile_drains', 'structures'][min(k) + 1] AS source FROM (SELECT cell_index, 0 AS k FROM dends UNION ALL
+    SELECT cell_index, k FROM moved UNION ALL SELECT cell_index, 5 FROM doutlets UNION ALL SELECT cell_index, 6 FROM dlow) GROUP BY cell_index""",
+    *CHAIN[:-1], ASIDE,
+)
+def pour_points_of_all(spark, sf_dir):
+    """Pour points of seven sources, of which four are moved to the streams."""
+    edges, acc = flow_of(spark, sf_dir)
+    streams = written(delineation.threshold_streams(acc, STREAM_HA, CELL_HA).select("cell_index"))
+    at = lambda name, key, a, b: table(spark, sf_dir, name).select(F.col(key).alias("point_id"), (F.col(key) * a % 118).alias("pr"), (F.col(key) * b % 128).alias("pc"))
+    snapped = {"outlets": at("supplier", "s_suppkey", 13, 29), "point_sources": at("nation", "n_nationkey", 17, 23), "reservoirs": at("region", "r_regionkey", 19, 27), "wascobs": at("part", "p_partkey", 11, 7)}
+    drains = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_index")).join(streams, "cell_index", "left_semi")
+    low = cells(spark, sf_dir).filter("soil = 'P'").groupBy("field").agg(F.min_by("cell_index", F.struct("dem", -F.col("cell_index"))).alias("cell_index"))
+    return delineation.pour_points(edges, streams, snapped, {"tile_drains": drains, "structures": low}, 5, COLS)
+
+
 @query("SELECT cell_index, outlet, subbasin FROM dsub", *CHAIN)
 def delineation_subbasins(spark, sf_dir):
     return delineated(spark, sf_dir)[0].select("cell_index", "outlet", "subbasin")
