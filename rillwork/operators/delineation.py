@@ -77,6 +77,17 @@ def stream_lines(edges: DataFrame, streams: DataFrame, subbasins: DataFrame) ->
     return e.join(subbasins.select("cell_index", "subbasin"), "cell_index").select("cell_index", "down", "subbasin")
 
 
+def stream_links(edges: DataFrame, streams: DataFrame, ends: DataFrame) -> DataFrame:
+    """Streams as lines between confluences: cell_index, link (its last cell), place (from 0 at the upper end) and size. No way is
+    walked: pointer doubling counts the steps to the link's end."""
+    own = streams.select("cell_index")
+    on = edges.select("cell_index", "down").join(own, "cell_index", "left_semi").join(own.select(F.col("cell_index").alias("down"), F.lit(True).alias("wet")), "down", "left")
+    way = flow.until(on.select("cell_index", F.when(F.col("wet"), F.col("down")).alias("down")), ends)
+    steps = flow.jump(way, []).select("cell_index", F.col("root").alias("link"), "steps")
+    sizes = steps.groupBy("link").agg(F.count("*").alias("size"))
+    return steps.join(sizes, "link").select("cell_index", "link", (F.col("size") - 1 - F.col("steps")).alias("place"), "size")
+
+
 def clip(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """The cells inside a mask or a rasterised polygon."""
     return cells.join(mask.select("cell_index").distinct(), "cell_index", "left_semi")

@@ -112,6 +112,19 @@ def stream_lines(spark, sf_dir):
     return delineation.stream_lines(edges, c.filter("is_stream"), c)
 
 
+@query(
+    "SELECT cell_index, link, count(*) OVER (PARTITION BY link) - 1 - n AS place, count(*) OVER (PARTITION BY link) AS size FROM (SELECT cell_index, max(n) AS n, arg_max(pos, n) AS link FROM slink GROUP BY cell_index)",
+    *CHAIN[:-2],
+    """slink AS (SELECT cell_index, cell_index AS pos, CAST(0 AS BIGINT) AS n FROM dstream UNION ALL
+ SELECT l.cell_index, f.down, l.n + 1 FROM slink l JOIN dflow f ON l.pos = f.cell_index WHERE l.pos NOT IN (SELECT cell_index FROM dends))""",
+)
+def stream_links(spark, sf_dir):
+    """Streams as ordered lines between confluences."""
+    edges, acc = flow_of(spark, sf_dir)
+    streams = written(delineation.threshold_streams(acc, STREAM_HA, CELL_HA).select("cell_index"))
+    return delineation.stream_links(edges, streams, delineation.stream_ends(edges, streams))
+
+
 STEPS_SQL = """dcells AS (SELECT x.cell_index, x.dem, x.landuse, s.subbasin, a.acc, a.acc * 0.01 >= 0.04 AS is_stream FROM cells x JOIN dsub s USING (cell_index) JOIN dacc a USING (cell_index)),
  dsteps AS (SELECT u.*, p.down, p.dist, v.subbasin AS n_subbasin, v.is_stream AS n_is_stream, v.dem AS n_dem FROM pointer p JOIN dcells u ON p.cell_index = u.cell_index LEFT JOIN dcells v ON p.down = v.cell_index),
  dmain AS (SELECT n_subbasin AS subbasin, arg_max(down, [acc, -down]) AS inlet FROM dsteps WHERE is_stream AND n_is_stream AND subbasin <> n_subbasin GROUP BY n_subbasin),
