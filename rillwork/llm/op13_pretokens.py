@@ -22,6 +22,7 @@ are neither read nor returned, so their names can't clash.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,6 +48,11 @@ HELD = 1_000_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+#: The same classes of the code points up to U+00FF; fixed values.
+LETTERS_255, NUMBERS_255, SPACE_255 = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+ABOVE_255 = re.compile("[^\\x00-\\xff]")
+
+
 def pre_token_pattern():
     """public_tokenizers.PATTERN with its white space spelled out."""
     from public_tokenizers import PATTERN
@@ -55,6 +61,21 @@ def pre_token_pattern():
     return regex.compile(spelled)
 
 
+def pre_tokenizer():
+    """A function from a text to its pre-tokens. Texts without code points above U+00FF need no tables of the pattern module."""
+    whole = pre_token_pattern()
+    classes = {r"\p{L}": LETTERS_255, r"\p{N}": NUMBERS_255, SPACE: SPACE_255}
+    spelled = whole.pattern
+    for kind, own in classes.items():
+        spelled = spelled.replace(f" ?{kind}+", f" ?[{own}]+").replace(kind, own)
+    small = re.compile(spelled)
+
+    def cut(text: str) -> list[str]:
+        return (whole if ABOVE_255.search(text) else small).findall(text)
+
+    return cut
+
+
 def ranks(path: str) -> dict[bytes, int]:
     """Bytes and id of each token of a rank file."""
     with open(path, "rb") as f:
@@ -103,7 +124,7 @@ def exploded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: st
     names = [x.split()[0] for x in schema.split(", ")]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, part, at = pre_token_pattern().findall, TaskContext.get().partitionId(), 0
+        find, part, at = pre_tokenizer(), TaskContext.get().partitionId(), 0
         types: list = []
         numbers: dict[str, int] = {}
         ids, pieces, parts, held, name = [], [], [], 0, xxhash.xxh64(b"")

@@ -201,7 +201,7 @@ def test_word_shuffle_of_no_rows(spark):
 
 def test_pattern_cuts_as_the_library():
     """Every code point between two words: cut by the pattern, its pieces have the library's ids."""
-    own, find = library(), op13_pretokens.pre_token_pattern().findall
+    own, find = library(), op13_pretokens.pre_tokenizer()
     points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
     for lot in (points[i : i + 500] for i in range(0, len(points), 500)):
         texts = [f"a{c}b {c}1{c}{c} x {c}\n" for c in lot]
