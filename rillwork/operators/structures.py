@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flow
+from .iterate import written
 
 
 def exits(edges: DataFrame, zones: DataFrame) -> DataFrame:
@@ -38,20 +41,38 @@ def downstream_structure(edges: DataFrame, zones: DataFrame, outlets: DataFrame)
     return met.select("id", F.coalesce(F.when(F.col("next") != F.col("id"), F.col("next")), F.lit(0)).alias("next"))
 
 
-def snap_within(points: DataFrame, targets: DataFrame) -> DataFrame:
+def _nearest_own(points: DataFrame, targets: DataFrame, order: tuple[str, ...], radius: int) -> DataFrame:
+    """Each point's nearest target of its own structure, of equals the first by order. Points meet the targets of the squares
+    around them; those without any within the radius are sought again in four times the radius, until it spans all."""
+    left = points.select("id", "r", "c").distinct()
+    ends = targets.select("r", "c").union(left.select("r", "c")).agg(F.max("r") - F.min("r"), F.max("c") - F.min("c")).first()
+    span = max(1, *(x or 0 for x in ends))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    found, step = [], radius
+    while True:
+        block = lambda v: F.floor(F.col(v) / step)  # noqa: B023, E731
+        asked = left.withColumn("s", around).select("id", "r", "c", (block("r") + F.col("s.i")).alias("br"), (block("c") + F.col("s.j")).alias("bc"))
+        other = targets.select("id", F.col("r").alias("tr"), F.col("c").alias("tc"), *(n for n in order if n not in ("tr", "tc")), block("r").alias("br"), block("c").alias("bc"))
+        dr, dc = F.col("r") - F.col("tr"), F.col("c") - F.col("tc")
+        near = asked.join(other, ["id", "br", "bc"]).withColumn("d2", dr * dr + dc * dc).filter(F.col("d2") <= step * step)
+        found.append(written(near.groupBy("id", "r", "c").agg(F.min(F.struct("d2", *order)).alias("b")).select("id", "r", "c", "b.tr", "b.tc")))
+        if step > 2 * span:
+            break
+        left = written(left.join(found[-1].select("id", "r", "c"), ["id", "r", "c"], "left_anti"))
+        if left.isEmpty():
+            break
+        step *= 4
+    return reduce(DataFrame.unionByName, found)
+
+
+def snap_within(points: DataFrame, targets: DataFrame, radius: int = 16) -> DataFrame:
     """Each point's nearest cell of its own structure; of equals the first of a row-major scan. points: id, r, c; targets: id, r, c."""
-    other = targets.select("id", F.col("r").alias("tr"), F.col("c").alias("tc"))
-    d2 = (F.col("r") - F.col("tr")) * (F.col("r") - F.col("tr")) + (F.col("c") - F.col("tc")) * (F.col("c") - F.col("tc"))
-    near = points.join(other, "id").groupBy("id", "r", "c").agg(F.min(F.struct(d2.alias("d2"), "tr", "tc")).alias("b"))
-    return near.select("id", "r", "c", "b.tr", "b.tc")
+    return _nearest_own(points, targets, ("tr", "tc"), radius)
 
 
-def snap_to_edge(points: DataFrame, edge: DataFrame) -> DataFrame:
+def snap_to_edge(points: DataFrame, edge: DataFrame, radius: int = 16) -> DataFrame:
     """A point inside a structure goes to its nearest edge cell, of equals to the lowest, then the first. edge: id, r, c, dem."""
-    other = edge.select("id", F.col("r").alias("tr"), F.col("c").alias("tc"), "dem")
-    d2 = (F.col("r") - F.col("tr")) * (F.col("r") - F.col("tr")) + (F.col("c") - F.col("tc")) * (F.col("c") - F.col("tc"))
-    near = points.join(other, "id").groupBy("id", "r", "c").agg(F.min(F.struct(d2.alias("d2"), "dem", "tr", "tc")).alias("b"))
-    return near.select("id", "r", "c", "b.tr", "b.tc")
+    return _nearest_own(points, edge, ("dem", "tr", "tc"), radius)
 
 
 def inside_basin(zones: DataFrame, subbasins: DataFrame) -> DataFrame:

@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import number_rows
+from .grid import number_rows, running_total
 
 
 def category_area(cells: DataFrame, zone: str, cell_ha: float) -> DataFrame:
     return cells.groupBy(zone).agg((F.count("*") * cell_ha).alias("area_ha"))
 
 
+def zone_median(cells: DataFrame, zone: str, value: str) -> DataFrame:
+    """The exact median of each zone: equal values are counted first, and a running total over (zone, value) in ranges gives
+    their ranks, so no task holds a zone."""
+    counts = cells.filter(F.col(value).isNotNull()).groupBy(zone, value).agg(F.count("*").alias("n"))
+    ranked = running_total(counts, "n", zone, value)
+    ends = ranked.groupBy(F.col(zone).alias("__zone")).agg(F.min("before").alias("start"), F.sum("n").alias("size"))
+    own = ranked.join(ends, F.col(zone).eqNullSafe(F.col("__zone"))).withColumn("at", F.col("before") - F.col("start"))
+    holds = lambda place: (F.col("at") <= place) & (place < F.col("at") + F.col("n"))
+    low, high = (F.max(F.when(holds(F.floor(x / 2)), F.col(value))) for x in (F.col("size") - 1, F.col("size")))
+    return own.groupBy(zone).agg(((low + high) / 2).alias("median"))
+
+
 def zonal_stats(cells: DataFrame, zone: str, value: str) -> DataFrame:
     v = F.col(value)
-    return cells.groupBy(zone).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"), F.stddev_pop(v).alias("stdev"), F.sum(v).alias("total"))
+    sums = cells.groupBy(zone).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"), F.stddev_pop(v).alias("stdev"), F.sum(v).alias("total"))
+    median = zone_median(cells, zone, value).withColumnRenamed(zone, "__own")
+    return sums.join(median, F.col(zone).eqNullSafe(F.col("__own")), "left").select(zone, "mean", "median", "min", "max", "range", "stdev", "total")
 
 
 def majority(cells: DataFrame, zone: str, value: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import checks, contract, flow, raster, relations, weights
+from rillwork.operators import checks, contract, flow, raster, relations, structures, weights, zonal
 from rillwork.operators import grid as grid_ops
 from rillwork.streaming.readings import reading_stream, upsert, windowed_sums
 
@@ -107,3 +108,29 @@ def test_checks(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
     got = sorted(map(tuple, checks.findings(checks.feedlot(lots, ids(3, 4), ids(7), ids(1))).collect()))
     assert got == [("feedlot of no animal", 3), ("feedlot of no storage", 2), ("feedlot storages and shares differ in number", 2)]
+
+
+def test_snap_in_structures_against_all_pairs(spark):
+    rng = random.Random(12)
+    targets = [(rng.randrange(3), rng.randrange(200), rng.randrange(200), float(rng.randrange(4))) for _ in range(80)]
+    points = [(rng.randrange(4), rng.randrange(200), rng.randrange(200)) for _ in range(60)]
+    t = spark.createDataFrame(targets, "id int, r int, c int, dem double")
+    p = spark.createDataFrame(points, "id int, r int, c int")
+
+    def best(i, r, c, key):
+        return min((((r - a) ** 2 + (c - b) ** 2, *key(a, b, z)) for k, a, b, z in targets if k == i), default=None)
+
+    for radius in (2, 500):
+        got = {(x.id, x.r, x.c): (x.tr, x.tc) for x in structures.snap_within(p, t, radius).collect()}
+        assert got == {q: b[1:] for q in set(points) if (b := best(*q, lambda a, b, z: (a, b)))}
+        got = {(x.id, x.r, x.c): (x.tr, x.tc) for x in structures.snap_to_edge(p, t, radius).collect()}
+        assert got == {q: b[2:] for q in set(points) if (b := best(*q, lambda a, b, z: (z, a, b)))}
+
+
+def test_medians_of_zones(spark):
+    rows = [(k % 4 if k % 9 else None, float(k * 37 % 11) if k % 5 else None) for k in range(200)] + [(9, None), (8, 2.0)]
+    got = {r.zone: r.median for r in zonal.zonal_stats(spark.createDataFrame(rows, "zone int, v double"), "zone", "v").collect()}
+    want = {}
+    for z, v in rows:
+        want.setdefault(z, []).extend([v] if v is not None else [])
+    assert got == {z: statistics.median(v) if v else None for z, v in want.items()}
