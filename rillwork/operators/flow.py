@@ -9,7 +9,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import written
+from .iterate import discard, written
 
 #: Rounds beyond those that a path through all cells takes.
 SPARE = 2
@@ -36,7 +36,9 @@ def jump(edges: DataFrame, sums: list[str]) -> DataFrame:
             raise circle(live)
         below = now.select(F.col("cell_index").alias("down"), F.col("down").alias("d2"), F.col("root").alias("r2"), F.col("steps").alias("s2"), *[F.col(s).alias(f"{s}2") for s in sums])
         moved = now.filter("down is not null").join(below, "down").select("cell_index", F.col("d2").alias("down"), F.col("r2").alias("root"), (F.col("steps") + F.col("s2")).alias("steps"), *[(F.col(s) + F.col(f"{s}2")).alias(s) for s in sums])
-        now = written(moved.unionByName(now.filter("down is null")))
+        then = written(moved.unionByName(now.filter("down is null")))
+        discard(now)
+        now = then
     return now.drop("down")
 
 
@@ -60,7 +62,9 @@ def tree(edges: DataFrame, sums: list[str], longest: str | None = None) -> DataF
         added = now.join(above, "cell_index", "left").select("cell_index", "down", *[(F.col(s) + F.coalesce(f"{s}_a", F.lit(0))).alias(s) for s in sums], *top)
         target = now.select(F.col("cell_index").alias("down"), F.col("down").alias("d2"), *([F.col("__len").alias("len2")] if longest else []))
         moved = added.filter("down is not null").join(target, "down").select("cell_index", F.col("d2").alias("down"), *[F.col(n) if n != "__len" else (F.col("__len") + F.col("len2")).alias("__len") for n in names])
-        now = written(moved.unionByName(added.filter("down is null")))
+        then = written(moved.unionByName(added.filter("down is null")))
+        discard(now)
+        now = then
     return now.select("cell_index", *sums, *([F.col("__max").alias("longest")] if longest else []))
 
 
@@ -82,7 +86,9 @@ def closure(edges: DataFrame, node: str, down: str) -> DataFrame:
         if reach >= last:
             raise circle(far.count())
         more = far.select("node", F.col("below").alias("mid"), F.col("rank").alias("r1")).join(pairs.select(F.col("node").alias("mid"), F.col("below").alias("b2"), F.col("rank").alias("r2")), "mid").select("node", F.col("b2").alias("below"), (F.col("r1") + F.col("r2")).alias("rank"))
-        pairs, reach = written(pairs.unionByName(more)), reach * 2
+        then = written(pairs.unionByName(more))
+        discard(pairs)
+        pairs, reach = then, reach * 2
 
 
 def components(links: DataFrame) -> DataFrame:
