@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import delineation, drainage, farming, hydro, kernels, management, stations, zones  # noqa: F401  (they register themselves)
+from .plans import delineation, drainage, farming, hydro, kernels, management, stations, subareas, zones  # noqa: F401  (they register themselves)
 from .plans.registry import QUERIES, SQL, Query
 
 
