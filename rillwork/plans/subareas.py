@@ -90,7 +90,7 @@ def travel_time_spread(spark, sf_dir):
 
 
 @query(
-    """SELECT subarea AS id, sub AS subbasin_id, field AS field_id, round(count(*) * 0.01, 4) AS area, round(count(*) FILTER (soil = 'P') / count(*), 6) AS wetland_fraction, round(avg(dem), 3) AS elevation,
+    """SELECT subarea AS id, sub AS subbasin_id, field AS field_id, round(count(*) * 0.01, 4) AS area, round(count(*) FILTER (soil = 'P') / count(*), 6) AS wetland_fraction, round(avg(dem), 6) AS elevation,
     round(avg(slope), 5) AS slope, 1.0::DOUBLE AS usle_p, round(avg(moisture), 6) AS moisture_initial, round(avg(up), 4) AS flow_accumulation_average, round(avg(t_2), 6) AS travel_time_average_2,
     round(avg(t_10), 6) AS travel_time_average_10, round(avg(t_100), 6) AS travel_time_average_100, round(avg(sd_2), 6) AS travel_time_std_2, round(avg(sd_10), 6) AS travel_time_std_10,
     round(avg(sd_100), 6) AS travel_time_std_100, 1 AS topography_weight, round(sqrt(count(*) * 0.01 * 10000) / 10, 4) AS lateral_width
@@ -105,7 +105,7 @@ def subarea_parameters_full(spark, sf_dir):
     wet = subarea.moisture(c, CELL_M * CELL_M, "capacity")
     own = subarea.with_subarea(c).join(subarea.travel_times(c, edges, CELL_M, H.DEPTH), "cell_index").join(wet, "cell_index")
     made = subarea.subarea_table(own, CELL_HA)
-    digits = {"area": 4, "elevation": 3, "slope": 5, "flow_accumulation_average": 4, "lateral_width": 4}
+    digits = {"area": 4, "elevation": 6, "slope": 5, "flow_accumulation_average": 4, "lateral_width": 4}
     whole = ("id", "subbasin_id", "field_id", "usle_p", "topography_weight")
     return made.select(*whole, *[F.round(n, digits.get(n, 6)).alias(n) for n in made.columns if n not in whole])
 
