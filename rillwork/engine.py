@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hydrology as H
-from .operators import bmp, delineation, flow, grid, reach, relations, rotation, zonal
+from .operators import bmp, delineation, flow, grid, reach, relations, rotation, subarea, weights, zonal
 from .operators.iterate import written
-from .sources import io
+from .sources import io, project
 from .sources.io import save_table
 
 Asset = Callable[["Engine"], DataFrame]
@@ -148,6 +148,25 @@ class Engine:
         io.model_files(self.spark, folder, config)
         io.reach_parameter_file(self.spark, self["reach_parameter"], f"{folder}/reachParameter.txt")
 
+    def climate(self, database: str, folder: str, scenario: project.Scenario, stations: DataFrame, readings: DataFrame) -> project.Scenario:
+        """The scenario's input list and its stations' weights, by the stations and the period of the readings where the
+        scenario names none. stations: idx, sx, sy; readings: type, station, day. A type's stations are thousands at most."""
+        ends = readings.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+        held: dict[str, list[int]] = {}
+        for r in readings.select("type", "station").distinct().orderBy("type", "station").toLocalIterator():
+            held.setdefault(r.type, []).append(r.station)
+        own = scenario.resolved(held, ends.a, ends.b)
+        cells = self.cells.join(self["subbasins"].select("cell_index", "subbasin"), "cell_index")
+        areas = subarea.with_subarea(cells) if own.model_type == "subarea" else None
+        n = areas.agg(F.countDistinct("subarea").alias("n")).first().n if areas is not None else -1
+        lines = own.file_in(self.res, cells.count(), n, cells.agg(F.countDistinct("subbasin").alias("n")).first().n)
+        io.input_file(self.spark, f"{folder}/file.in", lines)
+        used = self.spark.createDataFrame([(k, i) for k, ids in own.stations.items() for i in ids], "type string, idx int")
+        at, zone = (cells, None) if areas is None else (areas, "subarea")
+        made = weights.scenario_weights(own.method or "inverse_distance", at, stations, used, own.radius / self.res, zone)
+        io.save_table(made, f"{database}.weight")
+        return own
+
     def run(self, database: str, folder: str, config: list[str] | None = None) -> list[str]:
         """All steps: delineation, parameters, crop rotation, management, scenario. The tables that were built anew."""
         built = [*self.delineate(database), *self.parameters(database), *self.crop_rotation(database), *self.management(database)]

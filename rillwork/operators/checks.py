@@ -67,6 +67,34 @@ def feedlot(rows: DataFrame, storages: DataFrame, basins: DataFrame, livestock:
     ]
 
 
+def feedlot_layers(boundary: bool, outlets: bool, storages: bool) -> list[str]:
+    """Outlets and storages of feedlots are of no use without the feedlots."""
+    if boundary:
+        return []
+    return [f"feedlot boundaries are required with {n}" for n, has in (("outlets", outlets), ("storages", storages)) if has]
+
+
+def feedlot_references(
+    feedlots: DataFrame, outlets: DataFrame | None = None, basins: DataFrame | None = None, storages: DataFrame | None = None
+) -> list[tuple[str, DataFrame, str]]:
+    """Feedlots and outlets match one to one, in both directions; catch basins that feedlots name (cb) and feedlots that
+    storages name (feedlot) exist. Null, empty and "0" name none. A layer that isn't given is not checked. The key is the
+    id that lacks its counterpart."""
+    ids = lambda df: df.select(F.col("id").cast("string").alias("key"))
+    named = lambda df, c: df.select(F.trim(F.col(c).cast("string")).alias("key")).filter("key is not null and key not in ('', '0')")
+    absent = lambda one, two: one.join(two.distinct(), "key", "left_anti")
+    rules = []
+    if outlets is not None:
+        several = ids(outlets).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        rules += [("feedlot without outlet", absent(ids(feedlots), ids(outlets)), "key"), ("outlet of no feedlot", absent(ids(outlets), ids(feedlots)), "key")]
+        rules.append(("several outlets of a feedlot", several, "key"))
+    if basins is not None:
+        rules.append(("catch basin of a feedlot unknown", absent(named(feedlots, "cb"), ids(basins)), "key"))
+    if storages is not None:
+        rules.append(("feedlot of a storage unknown", absent(named(storages, "feedlot"), ids(feedlots)), "key"))
+    return rules
+
+
 def stations(used: DataFrame, known: DataFrame, readings: DataFrame, first: str, last: str) -> list[tuple[str, DataFrame, str]]:
     """Stations that a type uses must exist, have readings of the type, and cover the period. used: type, idx; readings: type, idx, day."""
     absent = used.join(known.select("idx"), "idx", "left_anti")

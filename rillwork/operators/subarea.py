@@ -115,3 +115,13 @@ def outlet_drainage(drains: DataFrame, capacity: float = 3800.0) -> DataFrame:
     """A row for each reach that tile drains drain to, numbered in the order of the reaches."""
     ids = rank_rows(drains.select("reach").distinct(), "reach", name="id")
     return ids.select("id", "reach", F.lit(capacity).alias("drainage_capacity"))
+
+
+def wascobs(features: DataFrame, cells: DataFrame, drains: DataFrame, fields: DataFrame, cell_ha: float) -> DataFrame:
+    """Wascobs with the subbasin of their cell, its area as contribution, and the reach of their tile drain. Strict in field
+    and tile drain: a wascob that names an unknown one has no row, checks.wascob() tells which.
+    features: id, cell_index, field_id, drain_id and attributes; drains as of tile_drains(); fields: id."""
+    known = features.join(fields.select(F.col("id").alias("field_id")).distinct(), "field_id", "left_semi")
+    on = known.join(drains.select(F.col("id").alias("drain_id"), "reach"), "drain_id")
+    area = cells.groupBy("subbasin").agg((F.count("*") * cell_ha).alias("contribution_ha"))
+    return on.join(cells.select("cell_index", "subbasin"), "cell_index").join(area, "subbasin")

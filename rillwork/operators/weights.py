@@ -134,3 +134,38 @@ def same_stations(used: DataFrame) -> DataFrame:
     sets = rows.groupBy("type").agg(F.count("*").alias("n"), h("idx").alias("a"), h("idx", F.lit(1)).alias("b"))
     firsts = sets.groupBy("n", "a", "b").agg(F.min("type").alias("first"))
     return sets.join(firsts, ["n", "a", "b"]).select("type", "first", "n")
+
+
+#: Types whose weights go by another name, and those that share another type's weights; fixed values.
+NAMES = {"TMAX": "weight_t", "WS": "weight_w"}
+SHARED = ("TMIN", "WD")
+
+
+def weight_names(used: DataFrame) -> DataFrame:
+    """name, first: the name of each type's weights, and the type whose station set stands for all that are equal to it.
+
+    Temperatures share one, as do wind's speed and direction. Without stations of its own, PET has those of P.
+    used: type, idx."""
+    kind = F.upper(F.col("type"))
+    name = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in NAMES.items()], F.concat(F.lit("weight_"), F.lower("type")))
+    own = used.select("type", "idx").filter(~kind.isin(*SHARED))
+    named = same_stations(own).select("type", name.alias("name"), "first")
+    has = named.agg(F.coalesce(F.max(F.upper("type") == "PET"), F.lit(False)).alias("has"))  # one row
+    copied = named.filter(F.upper("type") == "P").join(F.broadcast(has), ~F.col("has"))
+    return named.select("name", "first").unionByName(copied.select(F.lit("weight_pet").alias("name"), "first"))
+
+
+def scenario_weights(method: str, cells: DataFrame, stations: DataFrame, used: DataFrame, radius: float, zone: str | None = None) -> DataFrame:
+    """name, the cell or zone, idx, weight for all types of a scenario. Equal station sets are interpolated once and copied
+    by a join with the names. The sets are as many as the types of reading, a handful by construction, so the driver goes
+    through them; their stations and cells stay where they are."""
+    names = weight_names(used)
+    firsts = [r["first"] for r in names.select("first").distinct().collect()]
+    made = None
+    for kind in sorted(firsts):
+        own = stations.join(used.filter(F.col("type") == kind).select("idx").distinct(), "idx", "left_semi")
+        one = weights_by(method, cells, own, radius, zone).select(F.lit(kind).alias("first"), zone or "cell_index", "idx", "weight")
+        made = one if made is None else made.unionByName(one)
+    if made is None:
+        return weights_by(method, cells, stations, radius, zone).limit(0).select(F.lit("").alias("name"), zone or "cell_index", "idx", "weight")
+    return names.join(made, "first").select("name", zone or "cell_index", "idx", "weight")

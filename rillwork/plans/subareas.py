@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hydrology as H
-from ..operators import buffers, reach, subarea
+from ..operators import buffers, checks, reach, subarea, weights
 from ..operators.iterate import written
-from ..sources.views import CELL_HA, CELL_M, table
+from ..sources.views import CELL_HA, CELL_M, CELLS, STATIONS, cells, stations, table
 from .delineation import CHAIN, STEPS_SQL, delineated
 from .registry import query
 
@@ -157,8 +157,7 @@ DRAINS = """treach AS (SELECT r.subbasin AS reach, r.receive, z.area FROM drecei
  tdrains AS (SELECT c_custkey AS id, c_acctbal AS elevation, c_nationkey AS spacing, f.field, l.sub AS subbasin, o.reach FROM customer JOIN tlow l ON l.drain = c_custkey JOIN tfield f ON f.drain = c_custkey JOIN tto o ON o.node = l.sub)"""
 
 
-def drains_of(spark, sf_dir):
-    c, edges = model_cells(spark, sf_dir)
+def drains_of(spark, sf_dir, c, edges):
     receive = reach.receiving(reach.with_next(edges, c))
     area = c.groupBy("subbasin").agg((F.max("acc") * CELL_HA).alias("contribution_ha"))
     reaches = written(receive.join(area, "subbasin").withColumnRenamed("subbasin", "reach"))
@@ -171,9 +170,61 @@ def drains_of(spark, sf_dir):
 @query("SELECT id, elevation, spacing, field, subbasin, reach FROM tdrains", *CHAIN, MODEL, STEPS_SQL, DRAINS)
 def tile_drains(spark, sf_dir):
     """Tile drains with field, subbasin and the reach that they drain to."""
-    return drains_of(spark, sf_dir)
+    return drains_of(spark, sf_dir, *model_cells(spark, sf_dir))
 
 
 @query("SELECT row_number() OVER (ORDER BY reach) AS id, reach, 3800.0::DOUBLE AS drainage_capacity FROM (SELECT DISTINCT reach FROM tdrains)", *CHAIN, MODEL, STEPS_SQL, DRAINS)
 def outlet_drainage(spark, sf_dir):
-    return subarea.outlet_drainage(drains_of(spark, sf_dir))
+    return subarea.outlet_drainage(drains_of(spark, sf_dir, *model_cells(spark, sf_dir)))
+
+
+@query(
+    """SELECT p_partkey AS id, p_size AS field, m.sub AS subbasin, d.reach, p_retailprice AS elevation, round(z.n * 0.01, 4) AS contribution_ha FROM part JOIN tdrains d ON d.id = p_partkey % 120 JOIN mcells m ON m.cell_index = p_partkey
+    JOIN (SELECT sub, count(*) AS n FROM mcells GROUP BY sub) z ON z.sub = m.sub WHERE p_size IN (SELECT field FROM mcells)""",
+    *CHAIN, MODEL, STEPS_SQL, DRAINS,
+)
+def wascobs(spark, sf_dir):
+    """Parts as wascobs: their key is the cell, their size the field, and the tile drain is one of 120, of which some are unknown."""
+    c, edges = model_cells(spark, sf_dir)
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    features = p.select(key.alias("id"), key.alias("cell_index"), F.col("p_size").alias("field_id"), (key % 120).alias("drain_id"), F.col("p_retailprice").alias("elevation"))
+    made = subarea.wascobs(features, c, drains_of(spark, sf_dir, c, edges), c.select(F.col("field").alias("id")), CELL_HA)
+    return made.select("id", F.col("field_id").alias("field"), "subbasin", "reach", "elevation", F.round("contribution_ha", 4).alias("contribution_ha"))
+
+
+@query(
+    """SELECT 'feedlot without outlet' AS rule, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL
+    SELECT DISTINCT 'outlet of no feedlot', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
+    SELECT 'several outlets of a feedlot', o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1 UNION ALL
+    SELECT DISTINCT 'catch basin of a feedlot unknown', c_custkey % 150 FROM customer WHERE c_custkey % 150 <> 0 AND c_custkey % 150 NOT IN (SELECT s_suppkey FROM supplier) UNION ALL
+    SELECT 'feedlot of a storage unknown', p_partkey FROM part WHERE p_partkey <> 0 AND p_partkey NOT IN (SELECT c_custkey FROM customer)"""
+)
+def feedlot_findings(spark, sf_dir):
+    """Customers as feedlots, their orders as outlets, suppliers as catch basins, parts as storages."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 150).alias("cb"))
+    outlets = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    basins = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    storages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feedlot"))
+    return checks.findings(checks.feedlot_references(c, outlets, basins, storages))
+
+
+#: Types of reading by an order's number modulo their count; types with the same rest by three have the same stations.
+KIND = ("P", "TMAX", "TMIN", "RM", "SR", "WS", "WD")
+
+
+@query(
+    """SELECT n.name, w.cell_index, w.idx, 1.0::DOUBLE AS weight FROM wnames n JOIN (SELECT c.cell_index, s.k, arg_min(s.idx, [(s.sx - c.c) * (s.sx - c.c) + (s.sy - c.r) * (s.sy - c.r), s.idx]) AS idx
+    FROM cells c CROSS JOIN wsets s GROUP BY c.cell_index, s.k) w USING (k)""",
+    CELLS, STATIONS,
+    "wused AS (SELECT DISTINCT l_orderkey % 7 AS kind, (l_orderkey % 7) % 3 AS k, l_suppkey AS idx FROM lineitem WHERE l_suppkey % 3 <> (l_orderkey % 7) % 3)",
+    "wsets AS (SELECT DISTINCT u.k, s.idx, s.sx, s.sy FROM wused u JOIN stations s ON s.idx = u.idx)",
+    "wnames AS (SELECT DISTINCT k, unnest(CASE kind WHEN 0 THEN ['weight_p', 'weight_pet'] WHEN 1 THEN ['weight_t'] WHEN 3 THEN ['weight_rm'] WHEN 4 THEN ['weight_sr'] WHEN 5 THEN ['weight_w'] ELSE [] END) AS name FROM wused)",
+)
+def scenario_weights(spark, sf_dir):
+    """The nearest station of every cell for all types of a scenario; equal station sets are interpolated once."""
+    kind = (F.col("l_orderkey") % len(KIND)).cast("int")
+    rows = table(spark, sf_dir, "lineitem").filter(F.col("l_suppkey") % 3 != kind % 3)
+    names = F.array(*[F.lit(x) for x in KIND])
+    used = rows.select(names[kind].alias("type"), F.col("l_suppkey").cast("int").alias("idx")).distinct()
+    return weights.scenario_weights("thiessen", cells(spark, sf_dir), stations(spark, sf_dir), used, 16.0)

@@ -224,3 +224,8 @@ def raster(spark: SparkSession, database: str, name: str, path: str | None = Non
     if not path:
         raise LookupError(f"neither a table {database}.{name} nor a file")
     return read_ascii_grid(spark, path)[0]
+
+
+def input_file(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """The model's input list: its head, and a line for each type and station."""
+    _write_text(spark, path, lines)
