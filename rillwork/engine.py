@@ -167,10 +167,13 @@ class Engine:
         io.save_table(made, f"{database}.weight")
         return own
 
-    def run(self, database: str, folder: str, config: list[str] | None = None) -> list[str]:
-        """All steps: delineation, parameters, crop rotation, management, scenario. The tables that were built anew."""
+    def run(self, database: str, folder: str, config: list[str] | None = None, climate: tuple[project.Scenario, DataFrame, DataFrame] | None = None) -> list[str]:
+        """All steps: delineation, parameters, crop rotation, management, scenario, and the climate's files and weights where a
+        scenario with stations and readings is given. The tables that were built anew."""
         built = [*self.delineate(database), *self.parameters(database), *self.crop_rotation(database), *self.management(database)]
         self.scenario(database, folder, config or [])
+        if climate:
+            self.climate(database, folder, *climate)
         return built
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -89,3 +89,31 @@ def test_wascobs_of_unknown_fields_or_drains_have_no_row(spark):
     drains = spark.createDataFrame([(30, 4)], "id int, reach int")
     made = subarea.wascobs(features, cells, drains, spark.createDataFrame([(8,), (8,)], "id int"), 0.5)
     assert {(r.id, r.subbasin, r.reach, r.contribution_ha) for r in made.collect()} == {(1, 1, 4, 1.0), (2, 5, 4, 0.5)}
+
+
+@pytest.mark.parametrize("kind", ["cell", "subarea"])
+def test_climate_of_a_run(spark, tmp_path, kind):
+    """The stations of the readings, the period that the file names, and weights that sum to one for each cell or subarea."""
+    from rillwork.engine import Engine
+    from rillwork.sources.views import CELL_M, COLS, cells
+
+    own = cells(spark, "/root/testdata/sf0.001").drop("acc", "is_stream", "subbasin")
+    engine = Engine(spark, own, CELL_M, COLS, stream_ha=0.04)
+    stations = spark.createDataFrame([(1, 3.0, 2.0), (2, 90.0, 8.0), (3, 60.0, 4.0)], "idx int, sx double, sy double")
+    days = [("P", 1, "2000-01-01"), ("P", 2, "2000-01-05"), ("TMAX", 2, "2000-01-02"), ("TMAX", 1, "2000-01-02"), ("WS", 3, "2000-01-02")]
+    readings = spark.createDataFrame([(t, s, dt.date.fromisoformat(d)) for t, s, d in days], "type string, station int, day date")
+    text = f"[model]\nmodel_folder = /m\n[scenario]\nname = a\nmodel_type = {kind}\nstart_date = 2000-01-02\n[climate_interpolation]\nmethod = thiessen\nradius = 200\n"
+    spark.sql("CREATE DATABASE IF NOT EXISTS rill_c")
+    done = engine.climate("rill_c", str(tmp_path), project.Scenario.load(text), stations, readings)
+    assert done.stations == {"P": [1, 2], "TMAX": [1, 2], "WS": [3]} and done.end == dt.date(2000, 1, 5)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/file.in").collect()]
+    inside = own.join(engine["subbasins"].select("cell_index", "subbasin"), "cell_index")
+    assert f"SUBBASINCOUNT|{inside.select('subbasin').distinct().count()}" in lines
+    n = inside.count() if kind == "cell" else inside.select("subbasin", "field").distinct().count()
+    assert f"{'CELLNUMBER' if kind == 'cell' else 'SUBAREANUMBER'}|{n}" in lines and lines[-2:] == ["SITECOUNT|1|WS", "SITENAME|3|WS"]
+    made = spark.table("rill_c.weight")
+    key = "cell_index" if kind == "cell" else "subarea"
+    sums = made.groupBy("name", key).agg({"weight": "sum"}).collect()
+    assert len(sums) == 4 * n and all(abs(r[2] - 1) < 1e-9 for r in sums)
+    assert {r.name: r.idx for r in made.filter("name = 'weight_w'").select("name", "idx").distinct().collect()} == {"weight_w": 3}
+    spark.sql("DROP DATABASE rill_c CASCADE")
