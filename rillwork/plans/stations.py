@@ -16,17 +16,13 @@ WITHIN = "near AS (SELECT * FROM allnear WHERE d2 < 576)"
 IDW = """idw AS (SELECT cell_index, idx, raw / sum(raw) OVER (PARTITION BY cell_index) AS weight FROM (SELECT *, CASE WHEN min(d2) OVER (PARTITION BY cell_index) = 0 THEN CASE WHEN d2 = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d2 END AS raw FROM near))"""
 
 
-def _near(spark, sf_dir):
-    return weights.distances(cells(spark, sf_dir), stations(spark, sf_dir), RADIUS)
-
-
 def _nearest(spark, sf_dir, k):
     return weights.nearest(cells(spark, sf_dir), stations(spark, sf_dir), k, 16.0)
 
 
 @query("SELECT cell_index, idx, round(weight, 6) AS weight FROM idw", CELLS, STATIONS, NEAR, WITHIN, IDW)
 def idw_weights(spark, sf_dir):
-    return weights.inverse_distance(_near(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return weights.idw(cells(spark, sf_dir), stations(spark, sf_dir), RADIUS).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -35,7 +31,7 @@ def idw_weights(spark, sf_dir):
     CELLS, STATIONS, NEAR, WITHIN, IDW,
 )
 def idw_quantised(spark, sf_dir):
-    return weights.quantise(weights.inverse_distance(_near(spark, sf_dir))).withColumn("weight", F.round("weight", 4))
+    return weights.weights_by("inverse_distance", cells(spark, sf_dir), stations(spark, sf_dir), RADIUS).withColumn("weight", F.round("weight", 4))
 
 
 @query("SELECT cell_index, idx FROM (SELECT *, row_number() OVER (PARTITION BY cell_index ORDER BY d2, idx) AS k FROM allnear) WHERE k = 1", CELLS, STATIONS, NEAR)
@@ -54,7 +50,7 @@ def uniform_weights(spark, sf_dir):
     CELLS, STATIONS, NEAR, WITHIN,
 )
 def quadrant_weights(spark, sf_dir):
-    return weights.quadrant(_near(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return weights.by_quadrant(cells(spark, sf_dir), stations(spark, sf_dir), RADIUS).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -95,7 +91,7 @@ def weight_reuse(spark, sf_dir):
 @query("SELECT subbasin, idx, round(avg(weight), 6) AS weight FROM idw JOIN cells USING (cell_index) GROUP BY subbasin, idx", CELLS, STATIONS, NEAR, WITHIN, IDW)
 def unit_climate_weight(spark, sf_dir):
     """Weights of subareas in long form: one aggregation instead of a pass for each station."""
-    w = weights.inverse_distance(_near(spark, sf_dir))
+    w = weights.idw(cells(spark, sf_dir), stations(spark, sf_dir), RADIUS)
     return w.join(cells(spark, sf_dir).select("cell_index", "subbasin"), "cell_index").groupBy("subbasin", "idx").agg(F.round(F.avg("weight"), 6).alias("weight"))
 
 
