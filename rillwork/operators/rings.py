@@ -2,12 +2,15 @@
 
 A side of a cell whose neighbour is of another region is an edge from corner to corner, with the region on its right, so
 outer rings run clockwise on the map and holes the other way. At a corner where a region's cells touch diagonally a ring turns left,
-to the cell across, as regions join their diagonal neighbours. Each edge has one next edge; pointer doubling finds the ring's
-least edge and then each edge's place behind it, in as many rounds as the longest ring's length has bits.
+to the cell across, as regions join their diagonal neighbours. Each edge has one next edge, which the neighbours of its cell tell.
+Rings that lie in one block of edges (flow.BLOCK) are labelled there; pointer doubling finds the least edge of the others, in as
+many rounds as the longest ring's length has bits, and then each edge's place behind it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +27,44 @@ def _corner(r: Column, c: Column, cols: int) -> Column:
 
 
 def edges(cells: DataFrame, region: str, cols: int) -> DataFrame:
-    """edge (start corner * 4 + direction), start, end, direction, region. cells: r, c and the region, on a grid of so many columns."""
+    """edge (start corner * 4 + direction), start, direction, region, next (the edge that goes on from its end: to the left, straight
+    on or to the right) and turns (whether the one before has another direction). cells: r, c and the region, on a grid of so many columns."""
     wide = neighbour_values(cells.select("r", "c", region), region)
     at = lambda d: _corner(F.col("r") + d[0], F.col("c") + d[1], cols)
-    sides = [F.when(~F.coalesce(F.col(f"n{k}") == F.col(region), F.lit(False)), F.struct(at(a).alias("start"), at(b).alias("end"), F.lit(d).alias("direction"))) for k, d, a, b in SIDES]
-    found = wide.select(F.col(region).alias("region"), F.explode(F.array_compact(F.array(*sides))).alias("s")).select("region", "s.*")
+    own = lambda k: F.coalesce(F.col(f"n{k % 8}") == F.col(region), F.lit(False))
+
+    def side(k: int, d: int, a: tuple[int, int], b: tuple[int, int]) -> Column:
+        # Ahead of an edge along side k lie the cells k + 1 (to the left) and k + 2, behind it k - 1 and k - 2.
+        by = F.when(own(k + 1), 3).when(own(k + 2), 0).otherwise(1)
+        turns = own(k - 1) | ~own(k - 2)
+        return F.when(~own(k), F.struct(at(a).alias("start"), F.lit(d).alias("direction"), (at(b) * 4 + (F.lit(d) + by) % 4).alias("next"), turns.alias("turns")))
+
+    found = wide.select(F.col(region).alias("region"), F.explode(F.array_compact(F.array(*[side(*x) for x in SIDES]))).alias("s")).select("region", "s.*")
     return found.withColumn("edge", F.col("start") * 4 + F.col("direction"))
 
 
-def with_next(found: DataFrame) -> DataFrame:
-    """The edges with next, the one that goes on from their end: to the left, straight on or to the right."""
-    starts = found.groupBy(F.col("start").alias("end")).agg(F.collect_list(F.struct("direction", "region")).alias("out"))  # four at most
-    turned = lambda by: (F.col("direction") + by) % 4
+def _labelled(t: pa.Table) -> pa.Table:
+    """A block's edges with the label of their ring, null where the ring leaves the block."""
+    edge, to = flow.array(t, "edge"), flow.array(t, "next")
+    order = np.argsort(edge)
+    at = order[np.minimum(np.searchsorted(edge, to, sorter=order), len(edge) - 1)]
+    open_ = edge[at] != to
+    at = np.where(open_, np.arange(len(edge)), at)
+    label = edge.copy()
+    for _ in range(len(edge).bit_length() + 1):
+        label, open_, at = np.minimum(label, label[at]), open_ | open_[at], at[at]
+        if np.array_equal(label, label[at]) and np.array_equal(open_, open_[at]):
+            break
+    return pa.table({"edge": t["edge"], "next": t["next"], "label": pa.array(label, mask=open_)})
 
-    def goes(by: int) -> Column:
-        return F.exists("out", lambda x: (x["direction"] == turned(by)) & (x["region"] == F.col("region")))
 
-    by = F.when(goes(3), 3).when(goes(0), 0).otherwise(1)
-    return found.join(starts, "end").withColumn("next", F.col("end") * 4 + turned(by)).drop("out")
+def labels(links: DataFrame) -> DataFrame:
+    """edge, next and label, the least edge of the cycle. links: edge, next, all on cycles."""
+    here = written(links.select("edge", "next").groupBy(flow.block("edge")).applyInArrow(_labelled, "edge long, next long, label long"))
+    across = here.filter("label is null").select("edge", "next")
+    if across.isEmpty():
+        return here
+    return here.filter("label is not null").unionByName(across.join(least_on_cycle(across), "edge").select("edge", "next", "label"))
 
 
 def least_on_cycle(links: DataFrame) -> DataFrame:
@@ -59,19 +82,16 @@ def least_on_cycle(links: DataFrame) -> DataFrame:
 def rings(cells: DataFrame, region: str, cols: int) -> DataFrame:
     """region, ring (its least edge), place (from 0), x and y (the corner where an edge begins, in cells), turns (whether the
     ring changes its direction there)."""
-    found = written(with_next(edges(cells, region, cols)))
-    labels = written(least_on_cycle(found.select("edge", "next")))
-    named = found.join(labels, "edge")
+    found = written(edges(cells, region, cols))
+    named = written(labels(found.select("edge", "next")))
     # The ring is cut before its least edge, so places are steps from there to the end.
     cut = named.select(F.col("edge").alias("cell_index"), F.when(F.col("next") != F.col("label"), F.col("next")).alias("down"))
     steps = flow.jump(cut, []).select(F.col("cell_index").alias("edge"), "steps")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    placed = named.join(steps, "edge").join(sizes, "label")
-    before = found.select(F.col("next").alias("edge"), F.col("direction").alias("before"))
-    every = placed.join(before, "edge")
+    sizes = named.groupBy("label").agg(F.count("*").alias("size"))
+    every = found.drop("next").join(steps, "edge").join(named.select("edge", "label"), "edge").join(sizes, "label")
     return every.select(
         "region", F.col("label").alias("ring"), (F.col("size") - 1 - F.col("steps")).alias("place"), (F.col("start") % (cols + 1)).alias("x"),
-        F.floor(F.col("start") / (cols + 1)).alias("y"), (F.col("before") != F.col("direction")).alias("turns"),
+        F.floor(F.col("start") / (cols + 1)).alias("y"), "turns",
     )
 
 
