@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import coded_day, in_window
 
+#: Days of a span, and stays in a partition; fixed values.
+SPAN = 64
+STAYS = 100_000
+
 
 def dominant_crop(inventory: DataFrame) -> DataFrame:
     """inventory: year, field, code, cell_index. The most frequent code of each field and year, of equals the first met; years count from the first."""
@@ -42,6 +48,15 @@ def scheduled(calendar: DataFrame, operations: DataFrame, op: int) -> DataFrame:
 
 
 def daily_deposit(grazing: DataFrame, sums: list[str], least: str) -> DataFrame:
-    """grazing: reach, start, days and daily amounts. A row for each reach and day: sums and the least of the bank factor. Days are made and summed in one stage; only sums are shuffled."""
-    daily = grazing.filter("days > 0").select("reach", F.explode(F.sequence("start", F.date_add("start", F.col("days") - 1))).alias("day"), *sums, least)
-    return daily.groupBy("reach", "day").agg(*[F.sum(s).alias(s) for s in sums], F.min(least).alias(least))
+    """grazing: reach, start, days and daily amounts. A row for each reach and day: sums and the least of the bank factor.
+
+    Only stays are shuffled, dealt by reach and span of days; their days are made and summed where they meet, STAYS to a partition."""
+    number = F.unix_date("start")
+    own = grazing.filter("days > 0 and start is not null")
+    n = max(1, math.ceil(own.count() / STAYS))
+    spans = F.explode(F.sequence(F.floor(number / SPAN), F.floor((number + F.col("days") - 1) / SPAN))).alias("__span")
+    dealt = own.select("reach", number.alias("__first"), (number + F.col("days") - 1).alias("__last"), *sums, least, spans).repartition(n, "reach", "__span")
+    low, high = F.greatest(F.col("__first").cast("long"), F.col("__span") * SPAN), F.least(F.col("__last").cast("long"), F.col("__span") * SPAN + SPAN - 1)
+    daily = dealt.select("reach", "__span", F.explode(F.sequence(low, high)).alias("__day"), *sums, least)
+    found = daily.groupBy("reach", "__span", "__day").agg(*[F.sum(s).alias(s) for s in sums], F.min(least).alias(least))
+    return found.select("reach", F.date_from_unix_date(F.col("__day").cast("int")).alias("day"), *sums, least)
