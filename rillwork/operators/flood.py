@@ -27,88 +27,132 @@ from .iterate import discard, written
 RING = "tr long, tc long, r int, c int, structure long, level double, moved boolean"
 CELL = "r int, c int, dem double, filled double, code int"
 INF = float("inf")
+#: Sweeps over a whole tile before the rest is done cell by cell, in sides of the tile. Rough ground takes one to three.
+SWEEPS = 8
+#: The steps in the order in which a row-major scan meets the neighbours.
+SCAN = sorted(STEPS, key=lambda s: (s[2], s[1]))
 
 
 class Tile:
-    """A tile with a margin of one cell, as flat lists: elevation (None outside), structure, outlet, seed, level."""
+    """A tile with a margin of one cell, as arrays: floor (the elevation, -inf at outlets, inf outside), structure, outlet, level.
 
-    def __init__(self, r: np.ndarray, c: np.ndarray, dem, structure, outlet, seed, around: list[dict]) -> None:
+    A sweep lowers all cells by their neighbours at once. It takes the same sums and maxima along the ways as a flood from a
+    heap, so levels are equal to the bit; only ways that wind through a tile for more than SWEEPS sides are left to a heap."""
+
+    def __init__(self, x: dict) -> None:
+        r, c = x["r"].astype(np.int64), x["c"].astype(np.int64)
         self.top, self.left = int(r.min()) - 1, int(c.min()) - 1
-        self.width = int(c.max()) - self.left + 2
-        size = self.width * (int(r.max()) - self.top + 2)
-        self.at = ((r - self.top) * self.width + (c - self.left)).tolist()
-        self.z: list[float | None] = [None] * size
-        self.structure, self.outlet, self.seed, self.level = [0] * size, [False] * size, [False] * size, [INF] * size
-        for i, z, s, o, e in zip(self.at, dem.tolist(), structure.tolist(), outlet, seed):
-            self.z[i], self.structure[i], self.outlet[i], self.seed[i] = z, s, o, e
-        self.rim = []
-        for x in around:
-            i = (x["r"] - self.top) * self.width + x["c"] - self.left
-            if not x["own"] and 0 <= x["c"] - self.left < self.width and 0 <= i < size:
-                self.structure[i], self.level[i] = x["structure"], x["level"]
-                self.rim.append(i)
-        self.offsets = [(k, dy * self.width + dx) for k, dx, dy in STEPS]
-
-    def may_pass(self, u: int, v: int) -> bool:
-        """Whether the flood goes from u to v."""
-        s = self.structure[v]
-        return not s or s == self.structure[u] or self.outlet[v]
+        shape = (int(r.max()) - self.top + 2, int(c.max()) - self.left + 2)
+        self.at = (r - self.top, c - self.left)
+        self.level, self.floor = np.full(shape, INF), np.full(shape, INF)
+        self.structure, self.outlet = np.zeros(shape, np.int64), np.zeros(shape, bool)
+        void = np.isnan(x["dem"])
+        self.structure[self.at], self.outlet[self.at] = x["structure"], x["outlet"]
+        self.floor[self.at] = np.where(x["outlet"] | void, -INF, x["dem"])
+        self.level[self.at] = np.where(x["seed"] & ~void, x["dem"], INF)
+        self.given = (r, c, x["dem"], x["seed"])
+        self.old = np.full(shape, INF)
+        if x["around"] is not None:
+            rr, rc, structure, level, own = x["around"]
+            rr, rc = rr - self.top, rc - self.left
+            inside = (rr >= 0) & (rr < shape[0]) & (rc >= 0) & (rc < shape[1])
+            self.old[rr[inside & own], rc[inside & own]] = level[inside & own]
+            rim = inside & ~own
+            self.structure[rr[rim], rc[rim]], self.level[rr[rim], rc[rim]] = structure[rim], level[rim]
+
+    def beside(self, values: np.ndarray, dx: int, dy: int) -> np.ndarray:
+        """The neighbours' values of the cells inside the margin."""
+        return values[1 + dy : values.shape[0] - 1 + dy, 1 + dx : values.shape[1] - 1 + dx]
+
+    def may_come(self, dx: int, dy: int) -> np.ndarray:
+        """Whether the flood comes to the cells from the neighbour there."""
+        own = self.structure[1:-1, 1:-1]
+        return (own == 0) | (own == self.beside(self.structure, dx, dy)) | self.outlet[1:-1, 1:-1]
+
+    def lowest(self, shut: list[np.ndarray] | None) -> np.ndarray:
+        """Of each cell and the neighbours from which the flood may come."""
+        if shut is None:
+            rows = np.minimum(np.minimum(self.level[:-2], self.level[1:-1]), self.level[2:])
+            return np.minimum(np.minimum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])
+        least = self.level[1:-1, 1:-1].copy()
+        for (_, dx, dy), no in zip(STEPS, shut):
+            np.minimum(least, self.beside(self.level, dx, dy) + no, out=least)
+        return least
 
     def flood(self, step: float) -> None:
-        level, z, outlet = self.level, self.z, self.outlet
-        heap = [(z[i], i) for i in self.at if self.seed[i]] + [(level[i], i) for i in self.rim]
-        for low, i in heap:
-            level[i] = low
+        shut = [np.where(self.may_come(dx, dy), 0.0, INF) for _, dx, dy in STEPS] if (self.structure > 0).any() else None
+        inner, floor = self.level[1:-1, 1:-1], self.floor[1:-1, 1:-1]
+        for _ in range(SWEEPS * max(self.level.shape)):
+            new = np.maximum(self.lowest(shut) + step, floor)
+            fell = new < inner
+            if not fell.any():
+                return
+            np.copyto(inner, new, where=fell)
+        self._from_heap(step, np.argwhere(fell) + 1)
+
+    def _from_heap(self, step: float, fell: np.ndarray) -> None:
+        """The rest of a flood of which only these cells have not yet reached their neighbours."""
+        width = self.level.shape[1]
+        level, floor, structure, outlet = (x.ravel().tolist() for x in (self.level, self.floor, self.structure, self.outlet))
+        heap = [(level[i], i) for i in (fell[:, 0] * width + fell[:, 1]).tolist()]
         heapq.heapify(heap)
-        last = len(z)
+        offsets = [dy * width + dx for _, dx, dy in STEPS]
         while heap:
             low, u = heapq.heappop(heap)
             if low > level[u]:
                 continue
-            for _, d in self.offsets:
-                v = u + d
-                if 0 <= v < last and z[v] is not None and self.may_pass(u, v):
-                    up = low + step
-                    if not outlet[v] and up < z[v]:
-                        up = z[v]
+            for v in (u + d for d in offsets):
+                if floor[v] < INF and (not structure[v] or structure[v] == structure[u] or outlet[v]):
+                    up = max(floor[v], low + step)
                     if up < level[v]:
                         level[v] = up
                         heapq.heappush(heap, (up, v))
-
-    def code(self, v: int) -> int:
-        """Pointer to the lowest neighbour that the flood may come from, of equals the first in a row-major scan; 0 at seeds."""
-        if self.level[v] == INF or self.seed[v] and self.level[v] == self.z[v]:
-            return 0
-        ways = [(self.level[v + d], v + d, k) for k, d in self.offsets if 0 <= v + d < len(self.z) and self.level[v + d] < INF and self.may_pass(v + d, v)]
-        return 1 << min(ways)[2]
+        self.level = np.array(level).reshape(self.level.shape)
+
+    def codes(self) -> np.ndarray:
+        """Pointers to the lowest neighbour that the flood may come from, of equals the first in a row-major scan; 0 at seeds."""
+        least = np.full((self.level.shape[0] - 2, self.level.shape[1] - 2), INF)
+        code = np.zeros(least.shape, np.int32)
+        for k, dx, dy in SCAN:
+            there = np.where(self.may_come(dx, dy), self.beside(self.level, dx, dy), INF)
+            lower = there < least
+            np.copyto(least, there, where=lower)
+            code[lower] = 1 << k
+        _, _, dem, seed = self.given
+        level = self.level[self.at]
+        return np.where((level == INF) | (seed & (level == dem)), 0, code[self.at[0] - 1, self.at[1] - 1])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], step: float) -> Iterator[tuple[dict, Tile]]:
     for b in batches:
-        for x in b.to_pylist():
-            r, c = np.array(x["r"], np.int64), np.array(x["c"], np.int64)
-            t = Tile(r, c, np.array(x["dem"], float), np.array(x["structure"], np.int64), x["outlet"], x["seed"], x["around"] or [])
+        for i in range(b.num_rows):
+            x = {n: b.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("r", "c", "dem", "structure", "outlet", "seed")}
+            around = b.column("around")[i]
+            x["around"] = tuple(f.to_numpy(zero_copy_only=False) for f in around.values.flatten()) if around.is_valid else None
+            t = Tile(x)
             t.flood(step)
-            yield x, t
+            yield {"tr": b.column("tr")[i].as_py(), "tc": b.column("tc")[i].as_py()}, t
 
 
 def _rings(step: float, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, t in _tiles(batches, step):
-            old = {(a["r"], a["c"]): a["level"] for a in x["around"] or [] if a["own"]}
-            edge = {0, tile - 1}
-            ring = [(r, c, i) for r, c, i in zip(x["r"], x["c"], t.at) if (r % tile in edge or c % tile in edge) and t.level[i] < INF]
-            rows = [(x["tr"], x["tc"], r, c, t.structure[i], t.level[i], t.level[i] < old.get((r, c), INF)) for r, c, i in ring]
-            yield from _batch(rows, RING)
+            r, c, _, _ = t.given
+            level = t.level[t.at]
+            own = np.isin(r % tile, (0, tile - 1)) | np.isin(c % tile, (0, tile - 1))
+            own &= level < INF
+            n = int(own.sum())
+            yield _batch((np.full(n, x["tr"]), np.full(n, x["tc"]), r[own], c[own], t.structure[t.at][own], level[own], (level < t.old[t.at])[own]), RING)
 
     return run
 
 
 def _cells(step: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, t in _tiles(batches, step):
-            rows = [(r, c, z, t.level[i] if t.level[i] < INF else None, t.code(i)) for r, c, z, i in zip(x["r"], x["c"], x["dem"], t.at)]
-            yield from _batch(rows, CELL)
+        for _, t in _tiles(batches, step):
+            r, c, dem, _ = t.given
+            level = t.level[t.at]
+            yield _batch((r, c, dem, pa.array(level, mask=level == INF), t.codes()), CELL)
 
     return run
 
@@ -116,11 +160,9 @@ def _cells(step: float):
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def _batch(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+def _batch(columns: tuple, schema: str) -> pa.RecordBatch:
     fields = [x.split() for x in schema.split(", ")]
-    if rows:
-        cols = [pa.array(col, ARROW[kind]) for col, (_, kind) in zip(zip(*rows), fields)]
-        yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(col).cast(ARROW[kind]) for col, (_, kind) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def _block(col: str, tile: int, d: int = 0) -> Column:

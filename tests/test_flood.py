@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 
 from rillwork.operators import flood
@@ -99,3 +100,35 @@ def test_floods_without_cells_or_ways(spark):
     shut = [(r, c, 1.0, 1 if (r, c) == (2, 2) else None, False) for r in range(5) for c in range(5)]
     got = {(r.r, r.c): r.filled for r in flood.route(spark.createDataFrame(shut, kind), 2).collect()}
     assert got[2, 2] is None and sum(v is None for v in got.values()) == 1
+
+
+def one_tile(grid, zones, outlets, seeds):
+    at = sorted(grid)
+    pick = lambda f, kind: np.array([f(x) for x in at], kind)
+    given = {"r": pick(lambda x: x[0], np.int32), "c": pick(lambda x: x[1], np.int32), "dem": pick(grid.get, float), "around": None}
+    given |= {"structure": pick(lambda x: zones.get(x, 0), np.int64), "outlet": pick(outlets.__contains__, bool), "seed": pick(seeds.__contains__, bool)}
+    return at, flood.Tile(given)
+
+
+def test_a_tile_is_flooded_in_sweeps_and_not_cell_by_cell(monkeypatch):
+    """Rough ground of 64 x 64 cells, with structures too, takes no heap; ways that wind through all of a tile end in one."""
+    rng = random.Random(3)
+    grid = {(r, c): float(rng.randint(1, 400)) for r in range(64) for c in range(64)}
+    zones = {(r, c): 1 + (r // 16) * 4 + c // 16 for r, c in grid if 3 < r % 16 < 9 and 2 < c % 16 < 12}
+    outlets = {min((at for at in zones if zones[at] == i), key=lambda at: (grid[at], at)) for i in set(zones.values())}
+    seeds = {at for at in grid if None in beside(grid, at)}
+    calls, heap = [], flood.Tile._from_heap
+    monkeypatch.setattr(flood.Tile, "_from_heap", lambda self, *a: (calls.append(1), heap(self, *a)))
+    for structures in ({}, zones):
+        level, code = whole(grid, structures, outlets if structures else set(), seeds, 0.001)
+        at, t = one_tile(grid, structures, outlets if structures else set(), seeds)
+        t.flood(0.001)
+        assert {x: z for x, z in zip(at, t.level[t.at].tolist()) if z < flood.INF} == level and not calls
+        assert {x: k for x, k in zip(at, t.codes().tolist()) if x in level} == code
+    # A way of one cell's width to and fro between walls.
+    maze = {(r, c): 1.0 if r % 2 == 0 or c == (0 if r % 4 == 1 else 60) else 900.0 for r in range(61) for c in range(61)}
+    level, code = whole(maze, {}, set(), {(0, 0)}, 0.001)
+    at, t = one_tile(maze, {}, set(), {(0, 0)})
+    t.flood(0.001)
+    assert calls and dict(zip(at, t.level[t.at].tolist())) == level
+    assert dict(zip(at, t.codes().tolist())) == code
