@@ -38,14 +38,15 @@ def buffer_parts(cells: DataFrame, edges: DataFrame, zone: str) -> DataFrame:
     """cell_index, exit_cell, inside, length: the first exit on each cell's way down, whether the cell lies in the buffer, and
     the way from it to the exit inside of buffers, the exit's own step included. Cells whose way has no exit have no row.
 
-    Every cell on the way to an exit drains through it. Ways are doubled; a buffer of any size is no group."""
+    Every cell on the way to an exit drains through it. Ways are doubled, and bring the number of exits at their end, one or
+    none; a buffer of any size is no group."""
     steps = written(exits(within(edges, cells, zone), zone))
     inside = F.col(zone).isNotNull()
     stop = F.when(~F.col("is_exit"), F.col("down")).alias("down")
-    ways = flow.jump(steps.select("cell_index", stop, F.when(inside, F.coalesce("dist", F.lit(0.0))).otherwise(0.0).alias("length")), ["length"])
-    ends = steps.filter("is_exit").select(F.col("cell_index").alias("root"))
-    own = steps.select("cell_index", inside.alias("inside"))
-    return ways.join(ends, "root", "left_semi").join(own, "cell_index").select("cell_index", F.col("root").alias("exit_cell"), "inside", "length")
+    length = F.when(inside, F.coalesce("dist", F.lit(0.0))).otherwise(0.0).alias("length")
+    out = F.col("is_exit").cast("int").alias("exits")
+    ways = flow.jump(steps.select("cell_index", stop, length, out, inside.alias("inside")), ["length", "exits"], ("inside",))
+    return ways.filter("exits > 0").select("cell_index", F.col("root").alias("exit_cell"), "inside", "length")
 
 
 def numbered(parts: DataFrame) -> DataFrame:
