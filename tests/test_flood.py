@@ -132,3 +132,38 @@ def test_a_tile_is_flooded_in_sweeps_and_not_cell_by_cell(monkeypatch):
     t.flood(0.001)
     assert calls and dict(zip(at, t.level[t.at].tolist())) == level
     assert dict(zip(at, t.codes().tolist())) == code
+
+
+def winding(rows, cols):
+    """A way of one cell's width to and fro between walls."""
+    return {(r, c): 1.0 if r % 2 == 0 or c == (1 if r % 4 == 1 else cols - 2) else 900.0 for r in range(rows) for c in range(cols)}
+
+
+@pytest.mark.parametrize("tile, tables", [(8, 2), (3, None)])
+def test_rounds_are_those_between_blocks(spark, monkeypatch, tile, tables):
+    """A way through all tiles of one block takes no rounds: the blocks are written, and what goes to others, which is nothing."""
+    grid = winding(31, 31)
+    calls, write = [], flood.written
+    monkeypatch.setattr(flood, "written", lambda df: (calls.append(1), write(df))[1])
+    table = spark.createDataFrame([(r, c, z, None, None) for (r, c), z in grid.items()], "r int, c int, dem double, structure long, outlet boolean")
+    pits = {at for at in grid if None in (s := beside(grid, at)) and not any(z is not None and z < grid[at] for z in s)}
+    level, code = whole(grid, {}, set(), pits, 0.001)
+    got = flood.route(table, tile).collect()
+    assert {(r.r, r.c): (r.filled, r.code) for r in got} == {at: (level[at], code[at]) for at in grid}
+    assert tables is None or len(calls) == tables
+
+
+@pytest.mark.parametrize("sweeps", [1, 8])
+def test_tiles_of_a_block_hand_on_what_falls(monkeypatch, sweeps):
+    """Also where the heap takes over after sweeps that let cells beside another tile fall."""
+    monkeypatch.setattr(flood, "SWEEPS", sweeps)
+    for grid in (winding(31, 31), rough(4, 31, 29)):
+        zones = {(r, c): 1 + (r // 9) * 4 + c // 9 for r, c in grid if r % 9 < 4 and c % 9 < 5}
+        outlets = {min((at for at in zones if zones[at] == i), key=lambda at: (grid[at], at)) for i in set(zones.values())}
+        seeds = {at for at in grid if None in beside(grid, at)}
+        for structures, out in (({}, set()), (zones, outlets)):
+            level, code = whole(grid, structures, out, seeds, 0.001)
+            at, t = one_tile(grid, structures, out, seeds)
+            t.flood(0.001, 4)
+            assert {x: z for x, z in zip(at, t.level[t.at].tolist()) if z < flood.INF} == level
+            assert {x: k for x, k in zip(at, t.codes().tolist()) if x in level} == code
