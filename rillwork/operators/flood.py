@@ -354,8 +354,9 @@ def edges_of(codes: DataFrame, cols: int) -> DataFrame:
 def flood_outlets(edges: DataFrame, zones: DataFrame) -> DataFrame:
     """id, cell_index: cells by which a structure's water leaves and does not come back, by the ways of a flood. The first
     structure that a way meets below such a cell is another one or none. zones: cell_index, id."""
-    own = zones.select("cell_index", "id")
-    roots = flow.jump(flow.until(edges.select("cell_index", "down"), own), []).select("cell_index", "root")
-    met = roots.join(own.select(F.col("cell_index").alias("root"), F.col("id").alias("met")), "root", "left").select(F.col("cell_index").alias("down"), "met")
-    steps = edges.select("cell_index", "down").join(own, "cell_index").join(met, "down", "left")
+    own = written(zones.select("cell_index", "id"))
+    edges = written(edges.select("cell_index", "down"))  # of a flood, which would be done once for each use
+    roots = flow.jump(flow.until(edges, own), []).select(F.col("cell_index").alias("down"), "root")
+    met = own.select(F.col("cell_index").alias("root"), F.col("id").alias("met"))
+    steps = edges.join(own, "cell_index").join(roots, "down", "left").join(met, "root", "left")
     return steps.filter("met IS NULL OR met <> id").select("id", "cell_index")

@@ -29,12 +29,16 @@ CODES = """codes AS (SELECT n.b AS cell_index, arg_min(1 << ((n.k + 4) % 8), [l.
  JOIN levels l ON l.cell_index = n.a JOIN levels o ON o.cell_index = n.b WHERE {way} AND NOT (o.f = n.z AND n.b IN (SELECT a FROM sides JOIN wet w ON w.cell_index = a WHERE {seed})) GROUP BY n.b)"""
 
 
-def wetlands(spark, sf_dir):
-    """The cells with structures of three by four cells, their lowest cells as outlets."""
-    c = cells(spark, sf_dir)
+def zoned_cells(spark, sf_dir):
+    """The cells with structures of three by four cells."""
     inside = (F.col("r") % 7 < 3) & (F.col("c") % 9 < 4)
-    zoned = c.withColumn("structure", F.when(inside, F.floor(F.col("r") / 7) * 15 + F.floor(F.col("c") / 9) + 1).otherwise(0).cast("long"))
-    low = structures.lowest_outlets(zoned.filter("structure > 0").select(F.col("structure").alias("id"), "cell_index"), c)
+    return cells(spark, sf_dir).withColumn("structure", F.when(inside, F.floor(F.col("r") / 7) * 15 + F.floor(F.col("c") / 9) + 1).otherwise(0).cast("long"))
+
+
+def wetlands(spark, sf_dir):
+    """The cells with structures, their lowest cells as outlets."""
+    zoned = zoned_cells(spark, sf_dir)
+    low = structures.lowest_outlets(zoned.filter("structure > 0").select(F.col("structure").alias("id"), "cell_index"), cells(spark, sf_dir))
     return zoned.join(low.select("cell_index", F.lit(True).alias("outlet")), "cell_index", "left").fillna(False, ["outlet"])
 
 
@@ -66,7 +70,7 @@ def fill_depressions(spark, sf_dir):
 )
 def flood_outlets(spark, sf_dir):
     """Outlets of structures by the origin of the flood: crossings whose way does not come back first."""
-    c = wetlands(spark, sf_dir)
+    c = zoned_cells(spark, sf_dir)
     codes = flood.route(c.withColumn("structure", F.lit(0)).withColumn("outlet", F.lit(False)), 64)
     return flood.flood_outlets(flood.edges_of(codes, COLS), c.filter("structure > 0").select("cell_index", F.col("structure").alias("id")))
 

@@ -167,3 +167,19 @@ def test_tiles_of_a_block_hand_on_what_falls(monkeypatch, sweeps):
             t.flood(0.001, 4)
             assert {x: z for x, z in zip(at, t.level[t.at].tolist()) if z < flood.INF} == level
             assert {x: k for x, k in zip(at, t.codes().tolist()) if x in level} == code
+
+
+def test_outlets_read_the_flood_once(spark):
+    """The ways are a flood's, which would be done anew for each use of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "cell_index long, down long"
+    edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(10)], kind).mapInArrow(counted, kind)
+    zones = spark.createDataFrame([(7, 5), (6, 5), (3, 5), (1, 4), (0, 4)], "cell_index long, id long")
+    got = {(r.id, r.cell_index) for r in flood.flood_outlets(edges, zones).collect()}
+    assert got == {(5, 3), (4, 0)} and seen.value == 10
